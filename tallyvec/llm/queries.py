@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_shards, piece_bpe, toxic_lexicon, warc_io
+from . import flac_columns, hilbert_shards, mixture, piece_bpe, simhash, surrogates, toxic_lexicon, warc_io
+from .common import stage_table
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +23,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip_digest(_read(spark, sf_dir, "documents"), default_model())
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near counts the other documents within the radius, for the ids that are queries (divisible by 20)."""
+    prints = stage_table(simhash.with_edited(_read(spark, sf_dir, "documents")), "prints")
+    found = simhash.hamming_search(prints.filter("doc_id % 20 = 0"), prints)
+    near = found.groupBy("q0", "q1").agg((F.sum("n") - 1).alias("n_near"))
+    joined = prints.join(near, (prints.fp0 == near.q0) & (prints.fp1 == near.q1), "left")
+    likeness = lambda a, b: simhash.likeness(("fp0", "fp1"), (a, b))
+    return joined.select("doc_id", "n_chars", "edited_sha256", simhash.as_text("fp0", "fp1").alias("fingerprint"), simhash.as_text("ed0", "ed1").alias("edited_fingerprint"), likeness("ed0", "ed1").alias("near_edited"), likeness("nx0", "nx1").alias("near_next"), F.when(F.col("doc_id") % 20 == 0, F.col("n_near")).alias("n_near"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc_io.round_trip(_read(spark, sf_dir, "pages"))
     page = F.col("metadata.page_id")
@@ -39,7 +50,19 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.document_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_warc, op5_toxicity, op6_hilbert_shards)}
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(_read(spark, sf_dir, "documents"), count="n_entities")
+
+
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_columns.media_digest(flac_columns.to_flac(_read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op4_warc, op5_toxicity, op6_hilbert_shards, op7_mixture, op8_surrogates, op9_flac)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -1,8 +1,8 @@
 """WARC 1.1 archives: one transaction (request, response or revisit, metadata) a page.
 
 Records are built with SQL functions and written by Spark's text writer, whose line separator is the
-blank lines that end a record, so the files are plain .warc files in whatever store the shared folder
-is in.  Archives are read back whole by the binary-file reader, at most ``RECORDS_PER_FILE``
+blank lines that end a record, so the files are .warc.gz files (one gzip member a file) in whatever
+store the shared folder is in.  Archives are read back whole by the binary-file reader, at most ``RECORDS_PER_FILE``
 transactions each, and cut by Content-Length; digests are verified.  Records of one transaction meet
 again through WARC-Concurrent-To.
 
@@ -14,6 +14,7 @@ as smallest; a null url gives no target.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -85,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     notes = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f"{CRLF}payloadLength: "), F.col("length").cast("string"), F.lit(f"{CRLF}refersToPage: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record("metadata", [("WARC-Record-ID", about), ("WARC-Date", when), ("WARC-Target-URI", target), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], notes)
     text = F.concat_ws(CRLF + CRLF, request, response, metadata)
-    rows.select(text.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(text.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 RECORD = "kind string, record_id string, concurrent_to string, target string, digest string, refers_to string, page_id bigint, length bigint, refers_to_page bigint, payload binary"
@@ -134,7 +135,8 @@ def read_records(spark, path: str, keep_payload: bool = True) -> DataFrame:
     def run(batches):
         for b in batches:
             for data in b.column(0):
-                cols = list(zip(*parse(data.as_py()), strict=True)) or [[] for _ in names]
+                data = data.as_py()
+                cols = list(zip(*parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data), strict=True)) or [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
