@@ -42,16 +42,20 @@ ENDINGS = {"latin": "ner man sen rin lin dal vik ton", "cyrillic": "нин ри
 _given = "|".join(" ".join(NAMES.values()).split())
 _title = "|".join(TITLES.values())
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|pat)[-_][A-Za-z0-9]{20,80})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,128}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|pat)[-_][A-Za-z0-9]{20,80})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{4})(?!\d)",
     "name": rf"(?<!\p{{L}})(?:(?:{_title})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{_given}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
-}
-ANY = "|".join(PATTERNS.values())
+}
+_number = "|".join(PATTERNS[k] for k in ("ssn", "ip", "card", "phone"))
+#: Each kind is only tried where its first character allows it.
+ANY = (
+    rf"{PATTERNS['email']}|(?=[+(0-9])(?:{_number})|(?=[0-9a-fA-Fsgp])(?:{PATTERNS['secret']})|(?=[A-Z])(?:{PATTERNS['iban']})|(?=[A-ZгА-Я])(?:{PATTERNS['name']})"
+)
 NUMERIC = ("ssn", "card", "phone")
 
 
@@ -64,8 +68,12 @@ def kind_of(entity: Column) -> Column:
 
 def canonical(kind: Column, entity: Column) -> Column:
     bare = F.regexp_replace(entity, rf"^(?:{_title})\.? ", "")
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    country = F.regexp_extract(entity, r"^\+(\d{1,3})[ .(-]", 1)
+    abroad = F.concat(F.lit("+"), country, F.lit(" "), F.substring(digits, F.length(country) + 1, F.length(digits)))
     return (
-        F.when(kind.isin(*NUMERIC), F.regexp_replace(entity, "[^0-9]", ""))
+        F.when((kind == "phone") & (country != ""), abroad)
+        .when(kind.isin(*NUMERIC), digits)
         .when(kind.isin("email", "name"), F.lower(F.when(kind == "name", bare).otherwise(entity)))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .otherwise(entity)
@@ -145,8 +153,10 @@ def surrogate(key: str, kind: Column, canon: Column, sex: Column, attempt: Colum
     country = F.substring(canon, 1, 2)
     digits = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
     account = F.concat(country, F.when(_mod97(canon) == 1, digits).otherwise(F.substring(plain, 3, 2)), body)
+    fixed = F.regexp_extract(canon, r"^(AKIA|(?:sk|ghp|pat)[-_]|\+\d+ )", 1)
+    kept = F.concat(fixed, _recode(F.substring(canon, F.length(fixed) + 1, F.length(canon)), s))
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", account).when(kind == "name", F.lower(_person(s, script, sex))).otherwise(plain)
+    return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", account).when(kind == "name", F.lower(_person(s, script, sex))).when(kind.isin("secret", "phone"), kept).otherwise(plain)
 
 
 def lay_out(kind: Column, entity: Column, new: Column) -> Column:
@@ -154,7 +164,8 @@ def lay_out(kind: Column, entity: Column, new: Column) -> Column:
     title = F.regexp_extract(entity, rf"^((?:{_title})\.? )", 1)
     words = F.size(F.split(F.regexp_replace(entity, rf"^(?:{_title})\.? ", ""), " "))
     person = F.concat(title, F.when(words == 1, F.initcap(F.substring_index(new, " ", -1))).otherwise(F.initcap(new)))
-    grouped = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[A-Z0-9]"), F.substring(new, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^A-Z0-9]", "")), F.lit(1))).otherwise(c))
+    signs = F.regexp_replace(new, "[^A-Z0-9]", "")
+    grouped = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[A-Z0-9]"), F.substring(signs, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^A-Z0-9]", "")), F.lit(1))).otherwise(c))
     upper = (F.upper(entity) == entity) & (kind == "email")
     return F.when(kind == "name", person).when(kind.isin(*NUMERIC, "iban"), F.array_join(grouped, "")).when(upper, F.upper(new)).otherwise(new)
 
@@ -181,14 +192,18 @@ def assign(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     raise RuntimeError("some entities found no free surrogate")
 
 
+def has_entity(text: Column) -> Column:
+    """Every kind but names has a digit or an at sign: most texts need one look for these and one for names."""
+    return F.coalesce(text.rlike(f"(?=[A-ZгА-Я])(?:{PATTERNS['name']})") | (text.rlike("[0-9@]") & text.rlike(ANY)), F.lit(False))
+
+
 def replace(docs: DataFrame, key: str = "tallyvec", text: str = "text", count: str | None = None) -> DataFrame:
     """docs with entities of the text replaced; count names a column for their number."""
     columns = docs.columns
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    digest = F.xxhash64(text), F.sha2(F.col(text), 256)
-    hit = docs.filter(F.coalesce(F.col(text).rlike(ANY), F.lit(False)))
-    clean = docs.filter(~F.coalesce(F.col(text).rlike(ANY), F.lit(False)))
-    mentions = hit.select(digest[1].alias("__id"), F.explode(F.array_distinct(found)).alias("entity")).distinct()
+    digest = F.sha2(F.col(text), 256)
+    hit, clean = docs.filter(has_entity(F.col(text))), docs.filter(~has_entity(F.col(text)))
+    mentions = hit.select(digest.alias("__id"), F.explode(F.array_distinct(found)).alias("entity")).distinct()
     mentions = mentions.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("kind"), F.col("entity"))).withColumn("sex", F.when(F.col("kind") == "name", gender(F.col("entity"))).otherwise("x"))
     mentions = stage_table(mentions, "mentions")
     entities = mentions.groupBy("kind", "canon").agg(F.min("sex").alias("sex"))
@@ -197,7 +212,7 @@ def replace(docs: DataFrame, key: str = "tallyvec", text: str = "text", count: s
     laid = laid.select("__id", "entity", lay_out(F.col("kind"), F.col("entity"), F.col("new")).alias("new"))
     # a text's own entities: bounded by its length
     maps = laid.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__map"))
-    joined = hit.withColumn("__id", digest[1]).join(maps, "__id")
+    joined = hit.withColumn("__id", digest).join(maps, "__id")
     parts = F.split(F.col(text), ANY, -1)
     filled = F.zip_with(parts, found, lambda p, e: F.concat(p, F.coalesce(F.element_at(F.col("__map"), F.coalesce(e, F.lit(""))), e, F.lit(""))))
     replaced = F.array_join(filled, "")
