@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_columns, hilbert_shards, mixture, piece_bpe, simhash, surrogates, toxic_lexicon, warc_io
+from . import flac_columns, hilbert_shards, mixture, piece_bpe, simhash, suffix_dedup, surrogates, toxic_lexicon, warc_io
 from .common import stage_table
 
 
@@ -33,6 +33,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_chars", "edited_sha256", simhash.as_text("fp0", "fp1").alias("fingerprint"), simhash.as_text("ed0", "ed1").alias("edited_fingerprint"), likeness("ed0", "ed1").alias("near_edited"), likeness("nx0", "nx1").alias("near_next"), F.when(F.col("doc_id") % 20 == 0, F.col("n_near")).alias("n_near"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc_io.round_trip(_read(spark, sf_dir, "pages"))
     page = F.col("metadata.page_id")
@@ -62,7 +66,7 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_columns.media_digest(flac_columns.to_flac(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op4_warc, op5_toxicity, op6_hilbert_shards, op7_mixture, op8_surrogates, op9_flac)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_suffix_dedup, op4_warc, op5_toxicity, op6_hilbert_shards, op7_mixture, op8_surrogates, op9_flac)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -119,10 +119,14 @@ def with_edited(docs: DataFrame) -> DataFrame:
     size = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - F.floor(size / 2).cast("int")), F.col("head"))
     two = both.select("doc_id", "hash", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("t"))
-    two = two.select("doc_id", "hash", "t.which", "t.text", F.when(F.col("t.which") == 1, F.sha2(F.col("t.text"), 256)).alias("sha"))
-    prints = add_votes(two, F.col("text"), ["doc_id", "hash", "which"], [F.max("sha").alias("sha")])
+    # the digest goes along as four numbers: a string would turn the hash aggregation into one that sorts every word
+    sha = F.when(F.col("t.which") == 1, F.sha2(F.col("t.text"), 256))
+    quarters = {f"sha{i}": F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(4)}
+    two = two.select("doc_id", "hash", "t.which", "t.text", sha.alias("sha")).withColumns(quarters).drop("sha")
+    prints = add_votes(two, F.col("text"), ["doc_id", "hash", "which"], [F.max(c).alias(c) for c in quarters])
     side = lambda w, c: F.max(F.when(F.col("which") == w, F.col(c)))
-    per_doc = prints.groupBy("doc_id", "hash").agg(side(0, "fp0").alias("fp0"), side(0, "fp1").alias("fp1"), side(1, "fp0").alias("ed0"), side(1, "fp1").alias("ed1"), side(1, "sha").alias("edited_sha256"))
+    per_doc = prints.groupBy("doc_id", "hash").agg(side(0, "fp0").alias("fp0"), side(0, "fp1").alias("fp1"), side(1, "fp0").alias("ed0"), side(1, "fp1").alias("ed1"), *[side(1, c).alias(c) for c in quarters])
+    per_doc = per_doc.withColumn("edited_sha256", F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in quarters]))).drop(*quarters)
     links = follow.select(F.col("doc_id").alias("l_id"), F.col("hash").alias("l_hash"), "n_chars", F.col("__next_doc_id").alias("n_id"), F.col("__next_hash").alias("n_hash"))
     own = per_doc.join(links, per_doc.doc_id.eqNullSafe(links.l_id) & (per_doc.hash == links.l_hash))
     others = per_doc.select(F.col("doc_id").alias("o_id"), F.col("hash").alias("o_hash"), F.col("fp0").alias("nx0"), F.col("fp1").alias("nx1"))
