@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_columns, hilbert_shards, mixture, piece_bpe, simhash, suffix_dedup, surrogates, toxic_lexicon, warc_io
+from . import flac_columns, hilbert_shards, jaccard_join, mixture, piece_bpe, simhash, suffix_dedup, surrogates, toxic_lexicon, warc_io
 from .common import stage_table
 
 
@@ -66,7 +66,11 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_columns.media_digest(flac_columns.to_flac(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_suffix_dedup, op4_warc, op5_toxicity, op6_hilbert_shards, op7_mixture, op8_surrogates, op9_flac)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_suffix_dedup, op4_warc, op5_toxicity, op6_hilbert_shards, op7_mixture, op8_surrogates, op9_flac, op10_jaccard)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
