@@ -11,7 +11,9 @@ documents made of frequent shingles get longer prefixes and stricter matching.
 3. Every class is verified against its best partner among the first classes of its shingles; the
    links found give provisional groups.
 4. Pairs of classes of *different* groups that share enough prefix shingles are verified, too; pairs
-   inside a group can't change it.  Links of both kinds give the groups.
+   inside a group can't change it.  Links of both kinds give the groups.  Enough means the matches
+   that both ask for, and so many that the overlap needed is still in reach: beyond the prefix that
+   ends first there are n - prefix shingles at most.
 
 No list of candidates is cut.  Sets travel only for pairs that are verified.  Null texts and texts
 without words have empty sets and are linked with nothing; rows that repeat an id are one document
@@ -240,11 +242,18 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     shared = stage_table(shared.join(classes.select("k0", "k1", "rep"), ["k0", "k1"]).select("shingle", "rep", "n", "need"), "shared")
 
     # provisional groups: each class and its best partner among the first classes of its shingles
-    firsts = shared.groupBy("shingle").agg(F.min(F.struct("rep", "n")).alias("f")).select("shingle", F.col("f.rep").alias("a"), F.col("f.n").alias("a_n"))
+    def reach(x: str, y: str):
+        """Shared prefix shingles without which the overlap needed can't be reached."""
+        beyond = lambda n, need: F.ceil(F.col(n) * percent / 100) - F.col(need)  # noqa: E731  n minus the prefix's length
+        return F.ceil((F.col(f"{x}_n") + F.col(f"{y}_n")) * percent / (100 + percent)) - F.greatest(beyond(f"{x}_n", f"{x}_need"), beyond(f"{y}_n", f"{y}_need"))
+
+    firsts = shared.groupBy("shingle").agg(F.min(F.struct("rep", "n", "need")).alias("f")).select("shingle", F.col("f.rep").alias("a"), F.col("f.n").alias("a_n"), F.col("f.need").alias("a_need"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = shared.join(firsts, "shingle").filter((F.col("a") < F.col("rep")) & fits(F.col("a_n"), F.col("n")))
-    best = stars.groupBy("a", "rep").agg(F.count(F.lit(1)).alias("c")).groupBy("rep").agg(F.max(F.struct("c", -F.col("a"))).alias("m"))
-    found = _verified(rows, best.select((-F.col("m.col2")).alias("a"), F.col("rep").alias("b")), size, percent)
+    stars = shared.withColumnsRenamed({"n": "b_n", "need": "b_need"}).join(firsts, "shingle").filter((F.col("a") < F.col("rep")) & fits(F.col("a_n"), F.col("b_n")))
+    # a first class may stand for some of the shared shingles only: a third of what is needed is promising
+    tried = stars.groupBy("a", "rep").agg(F.count(F.lit(1)).alias("c"), F.max(reach("a", "b")).alias("reach")).filter("3 * c >= reach")
+    best = tried.groupBy("rep").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("minus_a"))).alias("m"))
+    found = _verified(rows, best.select((-F.col("m.minus_a")).alias("a"), F.col("rep").alias("b")), size, percent)
     groups = connected_components(found)
 
     # pairs of different groups that share enough of their prefixes
@@ -254,7 +263,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     x = open_rows.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "need", "g")])
     y = open_rows.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "need", "g")])
     met = x.join(y, (F.col("shingle") == F.col("y_shingle")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_g") != F.col("y_g")) & fits(F.col("x_n"), F.col("y_n")))
-    enough = met.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x_need", "y_need")).alias("least")).filter("c >= least")
+    enough = met.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest(F.least("x_need", "y_need").cast("bigint"), reach("x", "y"))).alias("least")).filter("c >= least")
     more = _verified(rows, enough.select("a", "b"), size, percent)
 
     copies = sets.filter("n > 0").join(classes, ["k0", "k1", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
