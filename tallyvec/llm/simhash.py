@@ -20,7 +20,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 BITS = 128
+NO_ID = -(1 << 63)
 LANES = 0x0000000100000001
 #: Buckets of ids at most, and rows that one should have.
 MAX_BUCKETS, BUCKET_ROWS = 4096, 250_000
@@ -108,30 +111,30 @@ def with_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has its last half replaced by the beginning of the next document's text.
     """
-    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    narrow = base.groupBy("doc_id", "hash").agg(F.max(F.char_length("text").cast("bigint")).alias("n_chars"))
-    follow = next_in_order(narrow, "doc_id", "hash", ["n_chars"])
+    base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    narrow = stage_table(base.groupBy("did", "hash").agg(F.max(F.char_length("text").cast("bigint")).alias("n_chars")), "ids")
+    follow = stage_table(next_in_order(narrow, "did", "hash", ["n_chars"]), "order")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    wanted = follow.select(F.col("doc_id").alias("to_id"), F.col("hash").alias("to_hash"), half.alias("take"), F.col("__next_doc_id").alias("from_id"), F.col("__next_hash").alias("from_hash"))
-    sent = base.join(wanted, base.doc_id.eqNullSafe(wanted.from_id) & (base.hash == wanted.from_hash))
-    heads = sent.select("to_id", "to_hash", F.substring(F.col("text"), F.lit(1), F.col("take")).alias("head")).groupBy("to_id", "to_hash").agg(F.max("head").alias("head"))
-    both = base.join(heads, base.doc_id.eqNullSafe(heads.to_id) & (base.hash == heads.to_hash)).select("doc_id", "hash", "text", "head")
+    wanted = follow.select(F.col("did").alias("to_id"), F.col("hash").alias("to_hash"), half.alias("take"), F.col("__next_did").alias("did"), F.col("__next_hash").alias("hash"))
+    sent = base.join(wanted, ["did", "hash"])
+    heads = sent.select("to_id", "to_hash", F.substring(F.col("text"), F.lit(1), F.col("take")).alias("head")).groupBy(F.col("to_id").alias("did"), F.col("to_hash").alias("hash")).agg(F.max("head").alias("head"))
+    both = base.join(heads, ["did", "hash"]).select("did", "hash", "text", "head")
     size = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - F.floor(size / 2).cast("int")), F.col("head"))
-    two = both.select("doc_id", "hash", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("t"))
+    two = both.select("did", "hash", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("t"))
     # the digest goes along as four numbers: a string would turn the hash aggregation into one that sorts every word
     sha = F.when(F.col("t.which") == 1, F.sha2(F.col("t.text"), 256))
     quarters = {f"sha{i}": F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(4)}
-    two = two.select("doc_id", "hash", "t.which", "t.text", sha.alias("sha")).withColumns(quarters).drop("sha")
-    prints = add_votes(two, F.col("text"), ["doc_id", "hash", "which"], [F.max(c).alias(c) for c in quarters])
+    two = two.select("did", "hash", "t.which", "t.text", sha.alias("sha")).withColumns(quarters).drop("sha")
+    # rows are dealt by did and hash already, so the votes aren't moved
+    prints = add_votes(two, F.col("text"), ["did", "hash", "which"], [F.max(c).alias(c) for c in quarters])
     side = lambda w, c: F.max(F.when(F.col("which") == w, F.col(c)))
-    per_doc = prints.groupBy("doc_id", "hash").agg(side(0, "fp0").alias("fp0"), side(0, "fp1").alias("fp1"), side(1, "fp0").alias("ed0"), side(1, "fp1").alias("ed1"), *[side(1, c).alias(c) for c in quarters])
-    per_doc = per_doc.withColumn("edited_sha256", F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in quarters]))).drop(*quarters)
-    links = follow.select(F.col("doc_id").alias("l_id"), F.col("hash").alias("l_hash"), "n_chars", F.col("__next_doc_id").alias("n_id"), F.col("__next_hash").alias("n_hash"))
-    own = per_doc.join(links, per_doc.doc_id.eqNullSafe(links.l_id) & (per_doc.hash == links.l_hash))
-    others = per_doc.select(F.col("doc_id").alias("o_id"), F.col("hash").alias("o_hash"), F.col("fp0").alias("nx0"), F.col("fp1").alias("nx1"))
-    full = own.join(others, own.n_id.eqNullSafe(others.o_id) & (own.n_hash == others.o_hash))
-    return full.select("doc_id", "n_chars", "edited_sha256", "fp0", "fp1", "ed0", "ed1", "nx0", "nx1")
+    per_doc = prints.groupBy("did", "hash").agg(side(0, "fp0").alias("fp0"), side(0, "fp1").alias("fp1"), side(1, "fp0").alias("ed0"), side(1, "fp1").alias("ed1"), *[side(1, c).alias(c) for c in quarters])
+    per_doc = stage_table(per_doc, "votes")
+    others = per_doc.select(F.col("did").alias("__next_did"), F.col("hash").alias("__next_hash"), F.col("fp0").alias("nx0"), F.col("fp1").alias("nx1"))
+    full = per_doc.join(follow, ["did", "hash"]).join(others, ["__next_did", "__next_hash"])
+    digest = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in quarters]))
+    return full.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), "fp0", "fp1", "ed0", "ed1", "nx0", "nx1")
 
 
 def block_tables(prints: DataFrame, radius: int = 3) -> DataFrame:
