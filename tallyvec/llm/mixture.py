@@ -15,23 +15,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 DIMS = ("source", "lang", "topic")
 #: Cells up to which the cell table is sent to every executor.
 BROADCAST_CELLS = 50_000
 
 
+def _count(text: Column, sign: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
+
+
 def token_count(text: Column) -> Column:
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("bigint")
+    """Blanks and line ends, and one."""
+    t = F.coalesce(text, F.lit(""))
+    return (_count(t, " ") + _count(t, "\n") + 1).cast("bigint")
 
 
 def form_topic(text: Column) -> Column:
     """The form that a text has, as its topic: table, shouting, signs, fragment or prose."""
     t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.char_length(t), F.lit(1))
-    bars = n - F.char_length(F.translate(t, "|", ""))
-    signs = n - F.char_length(F.translate(t, "#$%&*+=<>{}[]\\^~_", ""))
-    upper = F.char_length(F.translate(t, "abcdefghijklmnopqrstuvwxyz", ""))
-    return F.when(bars * 50 > n, "table").when(signs * 20 > n, "signs").when((upper * 10 > n * 6) & (n > 20), "shouting").when(n < 200, "fragment").otherwise("prose")
+    n = F.greatest(F.octet_length(t), F.lit(1))
+    signs = n - F.octet_length(F.translate(t, "#$%&*+=<>{}[]\\^~_", ""))
+    shouting = (F.upper(t) == t) & (F.lower(t) != t)
+    return F.when(_count(t, "|") * 50 > n, "table").when(signs * 20 > n, "signs").when(n < 200, "fragment").when(shouting, "shouting").otherwise("prose")
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
@@ -101,8 +108,6 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
     goals = targets or {d: tempered(cells, d, power) for d in DIMS}
     table = probabilities(rake(cells, goals, sweeps), budget_share).select(*[F.col(d).alias(f"__{d}") for d in DIMS], (F.col("weight") / F.col("tokens")).alias("weight"), "probability")
-    from .common import stage_table
-
     table = stage_table(table, "cells")
     if table.count() <= BROADCAST_CELLS:
         table = F.broadcast(table)
