@@ -1,0 +1 @@
+"""Vector-search scoring of card transactions on Spark DataFrames."""
