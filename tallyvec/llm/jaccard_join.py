@@ -3,7 +3,7 @@
 Sets of word shingles are ordered rare shingles first (by a bounded table of frequent shingles; any
 common order gives right results).  Two sets with similarity t or more share at least l shingles in
 their prefixes of length n - ceil(t n) + l.  Each document takes the l whose estimated cost - prefix
-entries plus the entries' documents, divided by the l matches that a candidate needs - is least, so
+entries, the documents met there, and the candidates left after asking for l matches - is least, so
 documents made of frequent shingles get longer prefixes and stricter matching.
 
 1. One pass lists shingle counts and a digest of each set; equal sets are one class from here on.
@@ -15,6 +15,9 @@ documents made of frequent shingles get longer prefixes and stricter matching.
    that both ask for, and so many that the overlap needed is still in reach: beyond the prefix that
    ends first there are n - prefix shingles at most.
 
+   Pairs meet at their shingles; for shingles of more than ``BUSY`` classes whole prefixes are
+   compared in blocks instead, so a busy shingle gives no row for every pair.
+
 No list of candidates is cut.  Sets travel only for pairs that are verified.  Null texts and texts
 without words have empty sets and are linked with nothing; rows that repeat an id are one document
 (of differing texts any linked one links the id); null ids are a document of their own, smaller than
@@ -40,6 +43,8 @@ CHUNK = 2 << 20
 #: Frequent shingles whose counts order the prefixes: a bounded hint, without effect on results.
 HINTS, HINT_LEAST = 1 << 16, 4
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
+#: Classes of a shingle up to which its pairs become rows; classes in one side of a block of pairs.
+BUSY, BLOCK, STEP = 64, 4096, 512
 
 
 def _sets(batches, size: int):
@@ -96,7 +101,8 @@ def choose_matches(n: int, counts: np.ndarray, percent: int) -> int:
     for l in CHOICES:  # noqa: E741
         if l > need:
             break
-        cost = (start + l) + costs[start + l - 1] / l
+        met = costs[start + l - 1]
+        cost = (start + l) + met + met / (2 * l)  # entries, meetings, and candidates that are left
         if cost < best:
             best, chosen = cost, l
     return chosen
@@ -225,6 +231,74 @@ def _verified(rows: DataFrame, pairs: DataFrame, size: int, percent: int, bloom_
     return stage_table(full.mapInArrow(_verify(percent), "a bigint, b bigint"), "verified")
 
 
+def _overlap_needed(x, y, percent: int):
+    return -(-percent * (x + y) // (100 + percent))
+
+
+PAIRS = "a bigint, b bigint"
+
+
+def _block_pairs(percent: int):
+    """Sorted rows (shingle, side_a, side_b, block, rep, n, need, g, prefix) to pairs that share enough of their prefixes."""
+
+    def compare(rep, n, need, g, prefix, left, right):
+        """Pairs of rows left x right; every prefix is an array of hashes."""
+        rows = np.concatenate([left, right])
+        sizes = [len(prefix[r]) for r in rows]
+        _, token, count = np.unique(np.concatenate([prefix[r] for r in rows]), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(rows)), sizes)
+        common = count[token] > 1
+        names, token = np.unique(token[common], return_inverse=True)
+        grid = np.zeros((len(rows), len(names)), np.float32)
+        grid[of[common], token] = 1
+        shared = np.rint(grid[: len(left)] @ grid[len(left) :].T).astype(np.int64)
+        x, y = left[:, None], right[None, :]
+        nx, ny = n[x], n[y]
+        beyond = np.maximum(-(-percent * nx // 100) - need[x], -(-percent * ny // 100) - need[y])
+        least = np.maximum(np.minimum(need[x], need[y]), _overlap_needed(nx, ny, percent) - beyond)
+        ok = (shared >= np.maximum(least, 1)) & (g[x] != g[y]) & (rep[x] != rep[y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        i, j = np.nonzero(ok)
+        return rep[left[i]], rep[right[j]]
+
+    def solve(t: pa.Table):
+        rep, n, need, g = (t.column(k).to_numpy().astype(np.int64) for k in ("rep", "n", "need", "g"))
+        block, lo, hi = (t.column(k).to_numpy() for k in ("block", "lo", "hi"))
+        prefix = [x.values.to_numpy() for x in t.column("prefix")]
+        one, two = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+        for i in range(0, len(one), STEP):
+            for j in range(i if lo[0] == hi[0] else 0, len(two), STEP):
+                a, b = compare(rep, n, need, g, prefix, one[i : i + STEP], two[j : j + STEP])
+                if len(a):
+                    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            key = np.stack([t.column(k).to_numpy() for k in ("shingle", "lo", "hi")])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            for a, z in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+                yield from solve(t.slice(int(a), int(z - a)))
+            rest = t.slice(int(cuts[-1])) if len(cuts) else t
+        if rest is not None and rest.num_rows:
+            yield from solve(rest)
+
+    return run
+
+
+def _busy_pairs(busy_rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that meet at busy shingles; busy_rows have m, the classes of their shingle."""
+    prefixes = shared.join(busy_rows.select("rep").distinct(), "rep").groupBy("rep").agg(F.collect_list("shingle").alias("prefix"))
+    sides = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")
+    rows = busy_rows.withColumn("sides", sides).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.join(prefixes, "rep").select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "need", "g", "prefix")
+    cells = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
+    return cells.mapInArrow(_block_pairs(percent), PAIRS).distinct()
+
+
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each id: n_shingles, component_id (smallest id reachable by links)."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -259,12 +333,15 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     # pairs of different groups that share enough of their prefixes
     named = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).select("shingle", "rep", "n", "need", "g")
     mixed = named.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("shingle")
-    open_rows = stage_table(named.join(mixed, "shingle"), "open")
+    open_rows = named.join(mixed, "shingle")
+    open_rows = stage_table(open_rows.join(open_rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "shingle"), "open")
+    busy = _busy_pairs(open_rows.filter(F.col("m") > BUSY), shared, percent)
+    open_rows = open_rows.filter(F.col("m") <= BUSY)
     x = open_rows.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "need", "g")])
     y = open_rows.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "need", "g")])
     met = x.join(y, (F.col("shingle") == F.col("y_shingle")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_g") != F.col("y_g")) & fits(F.col("x_n"), F.col("y_n")))
     enough = met.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest(F.least("x_need", "y_need").cast("bigint"), reach("x", "y"))).alias("least")).filter("c >= least")
-    more = _verified(rows, enough.select("a", "b"), size, percent)
+    more = _verified(rows, enough.select("a", "b").unionByName(busy).distinct(), size, percent)
 
     copies = sets.filter("n > 0").join(classes, ["k0", "k1", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = found.unionByName(more)
