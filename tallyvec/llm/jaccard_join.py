@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stage_table
+from .common import batch_rows, chunks, stage_table
 from .components import connected_components
 from .hashing import ODD, mix, shingle_sets
 
@@ -228,7 +228,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, size: int, percent: int, bloom_
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-    return stage_table(full.mapInArrow(_verify(percent), "a bigint, b bigint"), "verified")
+    with batch_rows(rows.sparkSession, 500):  # two sets a row
+        return stage_table(full.mapInArrow(_verify(percent), "a bigint, b bigint"), "verified")
 
 
 def _overlap_needed(x, y, percent: int):
@@ -302,7 +303,8 @@ def _busy_pairs(busy_rows: DataFrame, shared: DataFrame, percent: int) -> DataFr
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each id: n_shingles, component_id (smallest id reachable by links)."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    summary = stage_table(rows.mapInArrow(_summarise(size), SUMMARY), "summary")
+    with batch_rows(docs.sparkSession, 2000):
+        summary = stage_table(rows.mapInArrow(_summarise(size), SUMMARY), "summary")
     sets = summary.filter("kind = 0").select("id", "n", "k0", "k1")
     hints = summary.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(HINTS).toPandas()
     order = np.argsort(hints["id"].to_numpy(np.int64).view(np.uint64))
