@@ -44,7 +44,7 @@ CHUNK = 2 << 20
 HINTS, HINT_LEAST = 1 << 16, 4
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Classes of a shingle up to which its pairs become rows; classes in one side of a block of pairs.
-BUSY, BLOCK, STEP = 64, 4096, 512
+BUSY, BLOCK, STEP = 8, 4096, 512
 
 
 def _sets(batches, size: int):
