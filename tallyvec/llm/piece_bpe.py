@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Runs remembered by one Python worker; runs longer than LONG are not remembered.
-CACHE_RUNS, LONG = 500_000, 48
+CACHE_RUNS, LONG = 200_000, 48
 
 
 def _fields(b: bytes):
@@ -116,7 +116,7 @@ class PieceModel:
     def _compatible(self, a: str, b: str) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[a, b] = self._merged(a + b) == [a, b]
         return known

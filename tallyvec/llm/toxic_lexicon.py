@@ -69,9 +69,11 @@ def _features(text: str) -> set[str]:
 
 def _fit(texts: list[str], toxic: list[int], min_support: int, max_entries: int) -> list[tuple[str, str, float]]:
     """Rows (kind, key, weight): entry, exception and threshold."""
-    docs = [_features(t) for t, y in zip(texts, toxic, strict=True) if y]
-    n_pos, n_neg = len(docs), len(texts) - len(docs)
-    pos = Counter(f for d in docs for f in d)
+    bad = [t for t, y in zip(texts, toxic, strict=True) if y]
+    n_pos, n_neg = len(bad), len(texts) - len(bad)
+    pos: Counter = Counter()
+    for t in bad:
+        pos.update(_features(t))
     candidates = {f for f, n in pos.items() if n >= min_support}
     neg: Counter = Counter()
     for t, y in zip(texts, toxic, strict=True):
@@ -80,10 +82,9 @@ def _fit(texts: list[str], toxic: list[int], min_support: int, max_entries: int)
     weight = {f: math.log((pos[f] + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1)) for f in candidates}
     weight = {f: w for f, w in weight.items() if w >= 3.0}
     where: dict[str, set[int]] = {}
-    for i, d in enumerate(docs):
-        for f in d:
-            if f in weight:
-                where.setdefault(f, set()).add(i)
+    for i, t in enumerate(bad):
+        for f in weight.keys() & _features(t):
+            where.setdefault(f, set()).add(i)
     entries: list[str] = []
     open_docs = set(range(n_pos))
     while where and len(entries) < max_entries:  # greedy cover of the toxic texts
@@ -108,7 +109,7 @@ def _fit(texts: list[str], toxic: list[int], min_support: int, max_entries: int)
             if w + " " in doubtful or any(w.startswith(f) for f in doubtful if f[-1] != " "):
                 for p in (" ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])):
                     phrases.setdefault(p, [0, 0])[1 if y else 0] += 1
-    exceptions = sorted((p for p, (clean, bad) in phrases.items() if clean >= 3 and not bad and " " in p), key=lambda p: (-phrases[p][0], p))[:max_entries]
+    exceptions = sorted((p for p, (clean, other) in phrases.items() if clean >= 3 and not other and " " in p), key=lambda p: (-phrases[p][0], p))[:max_entries]
     model = [("entry", f, weight[f]) for f in entries] + [("exception", p, 0.0) for p in exceptions]
     matcher = Matcher(model)
     raw = [matcher.raw(t) for t in texts]
