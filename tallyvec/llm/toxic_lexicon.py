@@ -114,11 +114,11 @@ def _fit(texts: list[str], toxic: list[int], min_support: int, max_entries: int)
     matcher = Matcher(model)
     raw = [matcher.raw(t) for t in texts]
     cuts = sorted({r for r in raw if r > 0})
-    best = (-1, 1.0)
-    for c in [cuts[len(cuts) * i // 200] for i in range(200)] if cuts else []:
+    best = (-1, -1.0)
+    for c in [cuts[len(cuts) * i // 200] for i in range(200)] if cuts else []:  # of equals the lowest
         right = sum((r >= c) == bool(y) for r, y in zip(raw, toxic, strict=True))
-        best = max(best, (right, c / 2 if c == cuts[0] else c * 0.98))
-    return [*model, ("threshold", "", best[1])]
+        best = max(best, (right, -(c / 4 if c == cuts[0] else c * 0.98)))
+    return [*model, ("threshold", "", -best[1])]
 
 
 class Matcher:
