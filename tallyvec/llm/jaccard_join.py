@@ -251,7 +251,7 @@ def _block_pairs(percent: int):
         common = count[token] > 1
         names, token = np.unique(token[common], return_inverse=True)
         grid = np.zeros((len(rows), len(names)), np.float32)
-        grid[of[common], token] = 1
+        np.add.at(grid, (of[common], token), 1)  # hashes of a row that fall together count each: never too few
         shared = np.rint(grid[: len(left)] @ grid[len(left) :].T).astype(np.int64)
         x, y = left[:, None], right[None, :]
         nx, ny = n[x], n[y]
@@ -289,9 +289,13 @@ def _block_pairs(percent: int):
     return run
 
 
-def _busy_pairs(busy_rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that meet at busy shingles; busy_rows have m, the classes of their shingle."""
-    prefixes = shared.join(busy_rows.select("rep").distinct(), "rep").groupBy("rep").agg(F.collect_list("shingle").alias("prefix"))
+def _busy_pairs(busy_rows: DataFrame, open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that meet at busy shingles; busy_rows have m, the classes of their shingle.
+
+    Classes of different groups share open shingles only, so these are all that a prefix needs; they
+    travel as 32-bit hashes, which can make a pair a candidate but never hide one.
+    """
+    prefixes = open_rows.join(busy_rows.select("rep").distinct(), "rep").groupBy("rep").agg(F.collect_list(F.hash("shingle")).alias("prefix"))
     sides = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")
     rows = busy_rows.withColumn("sides", sides).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
@@ -334,10 +338,14 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
 
     # pairs of different groups that share enough of their prefixes
     named = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).select("shingle", "rep", "n", "need", "g")
-    mixed = named.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("shingle")
-    open_rows = named.join(mixed, "shingle")
-    open_rows = stage_table(open_rows.join(open_rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "shingle"), "open")
-    busy = _busy_pairs(open_rows.filter(F.col("m") > BUSY), shared, percent)
+    mark = F.xxhash64("rep", "n", "need")
+    signs = [F.bit_xor(mark).alias("s0"), F.sum(F.shiftright(mark, 32)).alias("s1"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2")]
+    mixed = named.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m"), *signs)
+    mixed = stage_table(mixed.filter("lo < hi").select("shingle", "m", *[F.when(F.col("m") > BUSY, F.col(c)).alias(c) for c in ("s0", "s1", "s2")]), "mixed")
+    open_rows = stage_table(named.join(mixed.select("shingle", "m"), "shingle"), "open")
+    # busy shingles of the very same classes give the same pairs: the smallest stands for all
+    heads = mixed.filter(F.col("m") > BUSY).groupBy("m", "s0", "s1", "s2").agg(F.min("shingle").alias("shingle")).select("shingle")
+    busy = _busy_pairs(open_rows.filter(F.col("m") > BUSY).join(heads, "shingle"), open_rows, percent)
     open_rows = open_rows.filter(F.col("m") <= BUSY)
     x = open_rows.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "need", "g")])
     y = open_rows.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "need", "g")])
