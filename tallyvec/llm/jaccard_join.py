@@ -18,7 +18,8 @@ documents made of frequent shingles get longer prefixes and stricter matching.
    Pairs meet at their shingles; for shingles of more than ``BUSY`` classes whole prefixes are
    compared in blocks instead, so a busy shingle gives no row for every pair.
 
-No list of candidates is cut.  Sets travel only for pairs that are verified.  Null texts and texts
+No list of candidates is cut.  Sets travel only for pairs that are verified, and that the parity
+sketches of their sets (an upper bound of the overlap) leave in reach.  Null texts and texts
 without words have empty sets and are linked with nothing; rows that repeat an id are one document
 (of differing texts any linked one links the id); null ids are a document of their own, smaller than
 all; an empty table gives an empty result.
@@ -58,8 +59,8 @@ def _sets(batches, size: int):
             yield ids[i:j], h, d, np.searchsorted(d, np.arange(len(raw) + 1))
 
 
-SUMMARY = "kind int, id bigint, n bigint, k0 bigint, k1 bigint"
-_SUMMARY = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64())])
+SUMMARY = "kind int, id bigint, n bigint, k0 bigint, k1 bigint, sketch binary"
+_SUMMARY = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("sketch", pa.binary())])
 
 
 def _digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,17 +74,35 @@ def _digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return n, out[0], out[1]
 
 
+def parity_sketch(h: np.ndarray) -> bytes:
+    """Parities of the hashes by their low bits, two to four bits a hash.
+
+    Two sets differ in as many hashes at least as their sketches, folded to one length, differ in bits.
+    """
+    bits = max(64, 1 << (2 * len(h)).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_overlap(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """An upper bound of the hashes that sets of nx and ny hashes with these sketches share."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+    return min(nx, ny, (nx + ny - int(np.bitwise_count(x ^ y).sum())) // 2)
+
+
 def _summarise(size: int):
     def run(batches):
         for ids, h, _, bounds in _sets(batches, size):
             n, k0, k1 = _digests(h, bounds)
             m = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids), pa.array(n), pa.array(k0), pa.array(k1)], schema=_SUMMARY)
+            sketch = pa.array([parity_sketch(h[bounds[i] : bounds[i + 1]]) if n[i] else None for i in range(m)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids), pa.array(n), pa.array(k0), pa.array(k1), sketch], schema=_SUMMARY)
             shingle, count = np.unique(h, return_counts=True)
             often = count >= HINT_LEAST
             m = int(often.sum())
             zero = pa.array(np.zeros(m, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(shingle[often].view(np.int64)), pa.array(count[often]), zero, zero], schema=_SUMMARY)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(shingle[often].view(np.int64)), pa.array(count[often]), zero, zero, pa.nulls(m, pa.binary())], schema=_SUMMARY)
 
     return run
 
@@ -209,9 +228,24 @@ def _verify(percent: int):
     return run
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, size: int, percent: int, bloom_bits: int = 1 << 20) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are similar enough."""
-    pairs = stage_table(pairs, "pairs")
+def _promising(percent: int):
+    """Rows (a, b, an, bn, ask, bsk) to the pairs whose sketches leave the overlap needed in reach."""
+
+    def run(batches):
+        for b in batches:
+            good = [100 * (o := most_overlap(x, y, nx, ny)) >= percent * (nx + ny - o) for nx, ny, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int, percent: int, bloom_bits: int = 1 << 20) -> DataFrame:
+    """The pairs (a, b) of ids whose sets are similar enough; sketches (id, n, sketch) spare sets the way."""
+    spark = rows.sparkSession
+    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}sk"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "ask", "bsk")
+    with batch_rows(spark, 500):
+        pairs = stage_table(both.mapInArrow(_promising(percent), PAIRS).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def marks(batches):  # a bitmap of bounded size: it only saves work
@@ -228,7 +262,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, size: int, percent: int, bloom_
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-    with batch_rows(rows.sparkSession, 500):  # two sets a row
+    with batch_rows(spark, 500):  # two sets a row
         return stage_table(full.mapInArrow(_verify(percent), "a bigint, b bigint"), "verified")
 
 
@@ -310,6 +344,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     with batch_rows(docs.sparkSession, 2000):
         summary = stage_table(rows.mapInArrow(_summarise(size), SUMMARY), "summary")
     sets = summary.filter("kind = 0").select("id", "n", "k0", "k1")
+    sketches = summary.filter("kind = 0 and n > 0").select("id", "n", "sketch")
     hints = summary.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(HINTS).toPandas()
     order = np.argsort(hints["id"].to_numpy(np.int64).view(np.uint64))
     hint_keys = hints["id"].to_numpy(np.int64).view(np.uint64)[order]
@@ -333,7 +368,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     # a first class may stand for some of the shared shingles only: a third of what is needed is promising
     tried = stars.groupBy("a", "rep").agg(F.count(F.lit(1)).alias("c"), F.max(reach("a", "b")).alias("reach")).filter("3 * c >= reach")
     best = tried.groupBy("rep").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("minus_a"))).alias("m"))
-    found = _verified(rows, best.select((-F.col("m.minus_a")).alias("a"), F.col("rep").alias("b")), size, percent)
+    found = _verified(rows, sketches, best.select((-F.col("m.minus_a")).alias("a"), F.col("rep").alias("b")), size, percent)
     groups = connected_components(found)
 
     # pairs of different groups that share enough of their prefixes
@@ -351,7 +386,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     y = open_rows.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "need", "g")])
     met = x.join(y, (F.col("shingle") == F.col("y_shingle")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_g") != F.col("y_g")) & fits(F.col("x_n"), F.col("y_n")))
     enough = met.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest(F.least("x_need", "y_need").cast("bigint"), reach("x", "y"))).alias("least")).filter("c >= least")
-    more = _verified(rows, enough.select("a", "b").unionByName(busy).distinct(), size, percent)
+    more = _verified(rows, sketches, enough.select("a", "b").unionByName(busy).distinct(), size, percent)
 
     copies = sets.filter("n > 0").join(classes, ["k0", "k1", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = found.unionByName(more)

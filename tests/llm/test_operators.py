@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,16 @@ def groups(rows):
     return sorted((i, len(s), find(i)) for i, s in sets.items())
 
 
+def test_sketches_never_hide_an_overlap():
+    rng = np.random.default_rng(3)
+    for nx, ny, both in [(1, 1, 1), (5, 40, 3), (700, 900, 650), (3000, 2000, 0), (33, 31, 30)]:
+        pool = np.unique(rng.integers(0, 1 << 63, nx + ny, dtype=np.uint64))
+        x, y = pool[:nx], np.concatenate([pool[:both], pool[nx : nx + ny - both]])
+        bound = jaccard_join.most_overlap(jaccard_join.parity_sketch(x), jaccard_join.parity_sketch(y), nx, ny)
+        assert both <= bound <= min(nx, ny)
+        assert both or 100 * bound < 75 * (nx + ny - bound)
+
+
 @pytest.mark.parametrize("busy", [3, 64])
 def test_op10(spark, busy, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUSY", busy)
