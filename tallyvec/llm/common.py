@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step holds at a time.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that one vectorised step holds at a time, and bytes of an Arrow batch.
+CHUNK_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,14 +44,16 @@ def drop_stage(df: DataFrame) -> None:
 
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what is run inside: wide rows need small batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Arrow batches of at most so many rows, and BATCH_BYTES, for what is run inside: wide rows need small batches."""
+    wanted = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{k}", str(v))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -39,8 +39,8 @@ from .components import connected_components
 from .hashing import ODD, mix, shingle_sets
 
 NO_ID = -(1 << 63)
-#: Texts handled in one vectorised step, in characters.
-CHUNK = 2 << 20
+#: Texts handled in one vectorised step, in bytes, and rows of a batch: each byte takes some hundred bytes on the way.
+CHUNK, ROWS = 256 << 10, 1000
 #: Frequent shingles whose counts order the prefixes: a bounded hint, without effect on results.
 HINTS, HINT_LEAST = 1 << 16, 4
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
@@ -340,9 +340,13 @@ def _busy_pairs(busy_rows: DataFrame, open_rows: DataFrame, percent: int) -> Dat
 
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each id: n_shingles, component_id (smallest id reachable by links)."""
+    with batch_rows(docs.sparkSession, ROWS):
+        return _groups(docs, size, percent, doc_id, text)
+
+
+def _groups(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    with batch_rows(docs.sparkSession, 2000):
-        summary = stage_table(rows.mapInArrow(_summarise(size), SUMMARY), "summary")
+    summary = stage_table(rows.mapInArrow(_summarise(size), SUMMARY), "summary")
     sets = summary.filter("kind = 0").select("id", "n", "k0", "k1")
     sketches = summary.filter("kind = 0 and n > 0").select("id", "n", "sketch")
     hints = summary.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(HINTS).toPandas()
