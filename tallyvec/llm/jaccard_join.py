@@ -44,8 +44,9 @@ CHUNK, ROWS = 256 << 10, 1000
 #: Frequent shingles whose counts order the prefixes: a bounded hint, without effect on results.
 HINTS, HINT_LEAST = 1 << 16, 4
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
-#: Classes of a shingle up to which its pairs become rows; classes in one side of a block of pairs.
-BUSY, BLOCK, STEP = 8, 4096, 512
+#: Classes of a shingle up to which its pairs become rows; classes in one side of a block of pairs, and in one
+#: side of a product; shingles in one product.
+BUSY, BLOCK, STEP, SLAB = 8, 4096, 512, 2048
 
 
 def _sets(batches, size: int):
@@ -284,9 +285,15 @@ def _block_pairs(percent: int):
         of = np.repeat(np.arange(len(rows)), sizes)
         common = count[token] > 1
         names, token = np.unique(token[common], return_inverse=True)
-        grid = np.zeros((len(rows), len(names)), np.float32)
-        np.add.at(grid, (of[common], token), 1)  # hashes of a row that fall together count each: never too few
-        shared = np.rint(grid[: len(left)] @ grid[len(left) :].T).astype(np.int64)
+        order = np.argsort(token, kind="stable")
+        token, of = token[order], of[common][order]
+        shared = np.zeros((len(left), len(right)), np.int64)
+        for at in range(0, len(names), SLAB):
+            width = min(SLAB, len(names) - at)
+            i, j = np.searchsorted(token, [at, at + width])
+            cells = np.bincount(of[i:j] * width + (token[i:j] - at), minlength=len(rows) * width)
+            grid = cells.astype(np.float32).reshape(len(rows), width)  # hashes of a row that fall together count each: never too few
+            shared += np.rint(grid[: len(left)] @ grid[len(left) :].T).astype(np.int64)
         x, y = left[:, None], right[None, :]
         nx, ny = n[x], n[y]
         beyond = np.maximum(-(-percent * nx // 100) - need[x], -(-percent * ny // 100) - need[y])
