@@ -46,14 +46,27 @@ def drop_stage(df: DataFrame) -> None:
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows, and BATCH_BYTES, for what is run inside: wide rows need small batches."""
     wanted = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": BATCH_BYTES}
-    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in wanted}
+    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}", None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(f"spark.sql.execution.arrow.{k}", str(v))
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+            if v is None:
+                spark.conf.unset(f"spark.sql.execution.arrow.{k}")
+            else:
+                spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most from here on in this session, for plans that run after their operator returned.
+
+    Results don't depend on it; a bound that the session sets itself stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def text_or_empty(name: str = "text") -> Column:

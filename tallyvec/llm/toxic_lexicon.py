@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Characters that are written in place of Latin letters.
 LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i",
@@ -191,4 +193,5 @@ def score(docs: DataFrame, model: list[tuple[str, str, float]], text: str = "tex
             scores = [matcher.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, out])
 
+    bound_batches(docs.sparkSession)
     return source.mapInArrow(run, schema)
