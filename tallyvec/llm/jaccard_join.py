@@ -41,8 +41,9 @@ from .hashing import ODD, mix, shingle_sets
 NO_ID = -(1 << 63)
 #: Texts handled in one vectorised step, in bytes, and rows of a batch: each byte takes some hundred bytes on the way.
 CHUNK, ROWS = 256 << 10, 1000
-#: Frequent shingles whose counts order the prefixes: a bounded hint, without effect on results.
-HINTS, HINT_LEAST = 1 << 16, 4
+#: Frequent shingles whose counts order the prefixes: a bounded hint, without effect on results.  They are counted
+#: in windows of so many hashes.
+HINTS, HINT_LEAST, WINDOW = 1 << 16, 4, 1 << 20
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Classes of a shingle up to which its pairs become rows; classes in one side of a block of pairs, and in one
 #: side of a product; shingles in one product.
@@ -93,17 +94,27 @@ def most_overlap(x: bytes, y: bytes, nx: int, ny: int) -> int:
 
 
 def _summarise(size: int):
+    def often(waiting):
+        shingle, count = np.unique(np.concatenate(waiting), return_counts=True)
+        chosen = count >= HINT_LEAST
+        m = int(chosen.sum())
+        zero = pa.array(np.zeros(m, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(shingle[chosen].view(np.int64)), pa.array(count[chosen]), zero, zero, pa.nulls(m, pa.binary())], schema=_SUMMARY)
+
     def run(batches):
+        waiting, held = [], 0
         for ids, h, _, bounds in _sets(batches, size):
             n, k0, k1 = _digests(h, bounds)
             m = len(ids)
             sketch = pa.array([parity_sketch(h[bounds[i] : bounds[i + 1]]) if n[i] else None for i in range(m)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids), pa.array(n), pa.array(k0), pa.array(k1), sketch], schema=_SUMMARY)
-            shingle, count = np.unique(h, return_counts=True)
-            often = count >= HINT_LEAST
-            m = int(often.sum())
-            zero = pa.array(np.zeros(m, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(shingle[often].view(np.int64)), pa.array(count[often]), zero, zero, pa.nulls(m, pa.binary())], schema=_SUMMARY)
+            waiting.append(h)
+            held += len(h)
+            if held >= WINDOW:
+                yield often(waiting)
+                waiting, held = [], 0
+        if held:
+            yield often(waiting)
 
     return run
 
