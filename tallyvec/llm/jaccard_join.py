@@ -286,18 +286,21 @@ PAIRS = "a bigint, b bigint"
 
 
 def _block_pairs(percent: int):
-    """Sorted rows (shingle, side_a, side_b, block, rep, n, need, g, prefix) to pairs that share enough of their prefixes."""
+    """Sorted rows (shingle, lo, hi, block, rep, n, need, g, prefix, heads) to pairs that share enough of their prefixes.
 
-    def compare(rep, n, need, g, prefix, left, right):
-        """Pairs of rows left x right; every prefix is an array of hashes."""
+    heads are the busy shingles at which a class is compared; of those that a pair shares the smallest gives it.
+    """
+
+    def common(values, left, right):
+        """How many values the rows left and right share."""
         rows = np.concatenate([left, right])
-        sizes = [len(prefix[r]) for r in rows]
-        _, token, count = np.unique(np.concatenate([prefix[r] for r in rows]), return_inverse=True, return_counts=True)
+        sizes = [len(values[r]) for r in rows]
+        _, token, count = np.unique(np.concatenate([values[r] for r in rows]), return_inverse=True, return_counts=True)
         of = np.repeat(np.arange(len(rows)), sizes)
-        common = count[token] > 1
-        names, token = np.unique(token[common], return_inverse=True)
+        met = count[token] > 1
+        names, token = np.unique(token[met], return_inverse=True)
         order = np.argsort(token, kind="stable")
-        token, of = token[order], of[common][order]
+        token, of = token[order], of[met][order]
         shared = np.zeros((len(left), len(right)), np.int64)
         for at in range(0, len(names), SLAB):
             width = min(SLAB, len(names) - at)
@@ -305,11 +308,18 @@ def _block_pairs(percent: int):
             cells = np.bincount(of[i:j] * width + (token[i:j] - at), minlength=len(rows) * width)
             grid = cells.astype(np.float32).reshape(len(rows), width)  # hashes of a row that fall together count each: never too few
             shared += np.rint(grid[: len(left)] @ grid[len(left) :].T).astype(np.int64)
+        return shared
+
+    def compare(rep, n, need, g, prefix, before, left, right):
+        """Pairs of rows left x right; before has the heads smaller than the shingle at hand."""
+        shared = common(prefix, left, right)
         x, y = left[:, None], right[None, :]
         nx, ny = n[x], n[y]
         beyond = np.maximum(-(-percent * nx // 100) - need[x], -(-percent * ny // 100) - need[y])
         least = np.maximum(np.minimum(need[x], need[y]), _overlap_needed(nx, ny, percent) - beyond)
         ok = (shared >= np.maximum(least, 1)) & (g[x] != g[y]) & (rep[x] != rep[y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        if ok.any():
+            ok &= common(before, left, right) == 0
         i, j = np.nonzero(ok)
         return rep[left[i]], rep[right[j]]
 
@@ -317,10 +327,12 @@ def _block_pairs(percent: int):
         rep, n, need, g = (t.column(k).to_numpy().astype(np.int64) for k in ("rep", "n", "need", "g"))
         block, lo, hi = (t.column(k).to_numpy() for k in ("block", "lo", "hi"))
         prefix = [x.values.to_numpy() for x in t.column("prefix")]
+        at = t.column("shingle")[0].as_py()
+        before = [h[h < at] for h in (x.values.to_numpy() for x in t.column("heads"))]
         one, two = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
         for i in range(0, len(one), STEP):
             for j in range(i if lo[0] == hi[0] else 0, len(two), STEP):
-                a, b = compare(rep, n, need, g, prefix, one[i : i + STEP], two[j : j + STEP])
+                a, b = compare(rep, n, need, g, prefix, before, one[i : i + STEP], two[j : j + STEP])
                 if len(a):
                     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -348,10 +360,11 @@ def _busy_pairs(busy_rows: DataFrame, open_rows: DataFrame, percent: int) -> Dat
     travel as 32-bit hashes, which can make a pair a candidate but never hide one.
     """
     prefixes = open_rows.join(busy_rows.select("rep").distinct(), "rep").groupBy("rep").agg(F.collect_list(F.hash("shingle")).alias("prefix"))
+    heads = busy_rows.groupBy("rep").agg(F.collect_list("shingle").alias("heads"))
     sides = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")
     rows = busy_rows.withColumn("sides", sides).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    rows = rows.join(prefixes, "rep").select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "need", "g", "prefix")
+    rows = rows.join(prefixes.join(heads, "rep"), "rep").select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "need", "g", "prefix", "heads")
     cells = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
     return cells.mapInArrow(_block_pairs(percent), PAIRS).distinct()
 
