@@ -26,6 +26,14 @@ def test_oracle(spark, con, sf, name):
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(ORACLES[name]).df())
 
 
+def test_trained_index_finds_the_neighbours(spark, con, sf):
+    """Recall@5 of the registered search through index.build, by plain SQL, and the query that reports it."""
+    found = {(r["qid"], r["ref_id"]) for r in QUERIES["trained_index_search"](spark, sf).collect()}
+    exact = set(map(tuple, con.execute(ORACLES["knn5_bruteforce"]).df()[["qid", "ref_id"]].itertuples(index=False)))
+    r = QUERIES["trained_index_recall"](spark, sf).first()
+    assert (r["neighbours"], r["found"]) == (len(exact), len(found & exact)) and r["recall"] >= 0.9
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
