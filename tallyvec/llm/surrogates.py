@@ -7,6 +7,9 @@ lower case of an address or name) decides its surrogate, so all its mentions get
 out as each mention is.  Surrogates keep lengths, separators, letter case, country codes, check
 digits (Luhn, mod 97), the script of a name and the gender that its title or given name shows.
 
+A phone number of a country with one length (NATIONAL_DIGITS) ends after that many digits; one of
+another country goes on over separated groups, but not into an IPv4 address.
+
 All distinct entities of the corpus are checked: two never share a surrogate and none gets a form
 that is an entity of the corpus itself; who loses a draw draws again with the next counter.
 
@@ -41,14 +44,19 @@ ENDINGS = {"latin": "ner man sen rin lin dal vik ton", "cyrillic": "нин ри
 
 _given = "|".join(" ".join(NAMES.values()).split())
 _title = "|".join(TITLES.values())
+#: An address may follow a number after a blank; it isn't a part of it.
+_ip = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+#: Digits after the country code where a country's numbers all have the same length.
+NATIONAL_DIGITS = {"1": 10, "7": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "91": 10}
+_fixed = "|".join(rf"\+{c}(?:[ .-]?\(0\))?(?:[ .-]?[(]?\d|(?<=\d)\)[ .-]?\d){{{n}}}" for c, n in NATIONAL_DIGITS.items())
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,128}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|pat)[-_][A-Za-z0-9]{20,80})(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{4})(?!\d)",
+    "ip": _ip,
+    "card": rf"(?<![\d+])\d(?:(?:[ -](?!{_ip}))?\d){{12,18}}(?!\d)",
+    "phone": rf"(?<![\p{{L}}\d])(?:(?:{_fixed})(?!\d)|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?:[ .-](?!{_ip}))?\d{{2,4}}){{1,4}}|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|\d{{3}}-\d{{4}})(?!\d)",
     "name": rf"(?<!\p{{L}})(?:(?:{_title})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{_given}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
 }
 _number = "|".join(PATTERNS[k] for k in ("ssn", "ip", "card", "phone"))

@@ -159,6 +159,17 @@ def test_op8(spark):
     assert surrogates.replace(edge(spark)).count() == len(EDGE) and surrogates.replace(edge(spark, [])).count() == 0
 
 
+def test_op8_phone_ends_before_the_next_number(spark):
+    texts = ["at 190.137.223.204", "+1 (826) 555-4081 190.137.223.204", "+1 (826) 555-4081 2024", "+49 30 1234 5678 190.137.223.204", "826 555 4081 190.137.223.204", "+44 (0)20 7946 0958 17", "+1 (826) 555-4081 4111 1111 1111 1111", "+1 (826) 555-4081"]
+    rows = surrogates.replace(spark.createDataFrame(list(enumerate(texts)), SCHEMA), count="n").orderBy("doc_id").collect()
+    got = [r["text"] for r in rows]
+    address, phone = got[0].removeprefix("at "), got[7]
+    assert address != "190.137.223.204" and [r["n"] for r in rows] == [1, 2, 1, 2, 2, 1, 2, 1]
+    assert got[1] == f"{phone} {address}" and got[2] == f"{phone} 2024" and got[3].endswith(f" {address}") and got[4].endswith(f" {address}")
+    assert re.fullmatch(r"\+44 \(\d\)\d\d \d{4} \d{4} 17", got[5]) and got[6].startswith(f"{phone} ") and "4111 1111" not in got[6]
+    assert all(x not in t for t in got for x in ("555-4081", "555 4081", "1234 5678", "7946 0958"))
+
+
 def test_op9(spark, sf):
     texts = plain(spark, sf)
     for r in QUERIES["op9_flac"](spark, sf).collect():
