@@ -4,9 +4,10 @@ Each word of a text votes with its weight on every bit of its hash; a fingerprin
 more than half of the weight.  Two 32-bit counters share one 64-bit sum, so 128 bits take 64 sums
 that Spark adds up as the words come out of the text, without a row a bit.
 
-Search within a Hamming radius r: the fingerprint is cut into r + 1 blocks; within r differing bits
-one block at least is equal, so r + 1 tables, each with another block in front, find every pair.
-A pair counts in the first table that has it.
+Search within a Hamming radius r: the fingerprint is cut into blocks, uneven ones if need be, and r is
+shared out among them; within r differing bits one block at least differs in no more bits than its
+share, so a table for each block, asked with that many bits flipped, finds every pair.  A pair counts
+in the first table that has it.
 
 Null texts count as empty; texts without words have an all-zero fingerprint.  Rows that repeat id and
 text give one row.  Ties in votes give 0.  Null ids come first in the order of ids.  An empty table
@@ -16,6 +17,7 @@ gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 BITS = 128
+#: Bits within which near copies lie: of the pairs of different texts with 5-word Jaccard 0.75 or more, see README.
+NEAR_COPY_RADIUS = 16
 NO_ID = -(1 << 63)
 LANES = 0x0000000100000001
 #: Buckets of ids at most, and rows that one should have.
@@ -137,37 +141,41 @@ def with_edited(docs: DataFrame) -> DataFrame:
     return full.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), "fp0", "fp1", "ed0", "ed1", "nx0", "nx1")
 
 
-def block_tables(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """prints with a row for each table: its number and the block in front."""
-    count = radius + 1
-    if BITS % count or BITS // count > 64:
-        raise ValueError("the radius must leave equal blocks of at most 64 bits")
-    width = BITS // count
-    keys = [F.struct(F.lit(t).alias("table"), block(t, width, "fp0", "fp1").alias("block")) for t in range(count)]
-    return prints.withColumn("__t", F.explode(F.array(*keys))).select(*prints.columns, "__t.table", "__t.block")
+def block_plan(radius: int) -> list[tuple[int, int, int, int]]:
+    """(half, shift, width, errors) of the blocks: within the radius, one of them has no more than its errors.
+
+    Up to radius 3 there are four blocks, beyond it six of 21 or 22 bits; blocks don't cross the halves.
+    """
+    per = 2 if radius <= 3 else 3
+    cuts = [64 * i // per for i in range(per + 1)]
+    least, more = divmod(radius, 2 * per)
+    blocks = [(t // per, cuts[t % per], cuts[t % per + 1] - cuts[t % per], least - (t > more)) for t in range(2 * per)]
+    return [b for b in blocks if b[3] >= 0]
 
 
-def block(t: int, width: int, low: str, high: str) -> Column:
-    """Block t of a fingerprint in two halves; blocks don't cross the halves."""
-    per = 64 // width
-    half = F.col(low if t < per else high)
-    mask = (1 << width) - 1
-    shifted = F.shiftrightunsigned(half, (t % per) * width)
-    return shifted if width == 64 else shifted.bitwiseAND(F.lit(mask))
+def block(half: int, shift: int, width: int, low: str, high: str) -> Column:
+    return F.shiftrightunsigned(F.col(high if half else low), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
 def hamming_search(queries: DataFrame, corpus: DataFrame, radius: int = 3) -> DataFrame:
     """Pairs (q0, q1, fp0, fp1, n, distance) of distinct query and corpus fingerprints within the radius.
 
     corpus: fp0, fp1; n counts its rows with that fingerprint.  Equal fingerprints are merged first,
-    so groups of copies cost one row.
+    so groups of copies cost one row.  A query looks into a table for its block with every set of
+    flipped bits that the table's errors allow (masks, a number of rows fixed by the radius).
     """
-    width = BITS // (radius + 1)
-    stored = block_tables(corpus.groupBy("fp0", "fp1").agg(F.count(F.lit(1)).alias("n")), radius)
-    asked = block_tables(queries.select("fp0", "fp1").distinct(), radius).select(F.col("fp0").alias("q0"), F.col("fp1").alias("q1"), F.col("table").alias("q_table"), F.col("block").alias("q_block"))
+    spark, plan = corpus.sparkSession, block_plan(radius)
+    keys = lambda low, high: [F.lit(t << 32).bitwiseOR(block(*b[:3], low, high)) for t, b in enumerate(plan)]
+    stored = corpus.groupBy("fp0", "fp1").agg(F.count(F.lit(1)).alias("n")).select("fp0", "fp1", "n", F.posexplode(F.array(*keys("fp0", "fp1"))).alias("table", "key"))
+    flips = [(t, sum(1 << i for i in bits)) for t, (_, _, width, errors) in enumerate(plan) for k in range(errors + 1) for bits in combinations(range(width), k)]
+    masks = spark.createDataFrame(flips, "q_table int, mask long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select(F.col("fp0").alias("q0"), F.col("fp1").alias("q1")).repartition(parts, "q0", "q1").distinct().crossJoin(F.broadcast(masks))
+    asked = asked.select("q0", "q1", F.element_at(F.array(*keys("q0", "q1")), F.col("q_table") + 1).bitwiseXOR(F.col("mask")).alias("q_key"))
     earlier = F.lit(False)
-    for t in range(radius):
-        earlier = earlier | ((F.col("table") > t) & (block(t, width, "fp0", "fp1") == block(t, width, "q0", "q1")))
+    for t, (half, shift, width, errors) in enumerate(plan[:-1]):
+        differ = block(half, shift, width, "fp0", "fp1").bitwiseXOR(block(half, shift, width, "q0", "q1"))
+        earlier = earlier | ((F.col("table") > t) & (F.bit_count(differ) <= errors))
     near = distance(("fp0", "fp1"), ("q0", "q1"))
-    found = asked.join(stored, (F.col("q_table") == F.col("table")) & (F.col("q_block") == F.col("block")) & (near <= radius) & ~earlier)
+    found = asked.join(stored, (F.col("q_key") == F.col("key")) & (near <= radius) & ~earlier)
     return found.select("q0", "q1", "fp0", "fp1", "n", near.alias("distance"))

@@ -65,6 +65,26 @@ def test_op2(spark, sf):
     assert simhash.with_edited(edge(spark)).count() == len({(i, t or "") for i, t in EDGE}) and simhash.with_edited(edge(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("radius", [1, 3, 5, 16])
+def test_hamming_search_finds_every_pair(spark, radius):
+    rng = random.Random(radius)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    bases = [rng.getrandbits(128) for _ in range(6)]
+    prints = list({b ^ sum(1 << i for i in rng.sample(range(128), rng.randint(0, 12))) for b in bases for _ in range(40)})
+    frame = spark.createDataFrame([(signed(x & (1 << 64) - 1), signed(x >> 64)) for x in prints], "fp0 long, fp1 long")
+    got = [(r["q0"], r["q1"], r["fp0"], r["fp1"], r["distance"]) for r in simhash.hamming_search(frame, frame, radius).collect()]
+    halves = dict(zip(prints, map(tuple, frame.collect()), strict=True))
+    want = sorted((*halves[x], *halves[y], (x ^ y).bit_count()) for x in prints for y in prints if (x ^ y).bit_count() <= radius)
+    assert sorted(got) == want and len(want) > len(prints)
+
+
+def test_op2_counts_near_copies(spark, sf):
+    rows = {r["doc_id"]: r for r in QUERIES["op2_simhash"](spark, sf).collect()}
+    bits = {i: int(r["fingerprint"], 16) for i, r in rows.items()}
+    for i, r in rows.items():
+        assert r["n_near_copies"] == (None if i % 20 else sum((bits[i] ^ b).bit_count() <= 16 for b in bits.values()) - 1)
+
+
 def repeats(rows):
     seen, out = set(), []
     for i, t in sorted(rows):
