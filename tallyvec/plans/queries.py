@@ -1,7 +1,8 @@
 """Queries of the engine and their SQL for DuckDB.
 
 Searches over embeddings take every vector as a query against all others; payload searches take the
-events whose id is divisible by 20 as queries and all other events as the reference set.
+events whose id is divisible by 20 as queries and all other events as the reference set
+(score_against_all_events: every event but the query's own).
 """
 
 from __future__ import annotations
@@ -77,6 +78,8 @@ def _count(queries: str, lists: str, dims: int, nprobe: int, name: str, own: boo
 EMB_INDEX = f"WITH {EMB}, {_seeds('e', DIMS)}, {_assigned('e', DIMS)}"
 EV_INDEX = f"WITH {EV}, q AS (SELECT event_id AS ref_id, {_names('q', 14)} FROM f WHERE event_id % 20 = 0), r0 AS (SELECT event_id AS ref_id, label, {_names('q', 14)} FROM f WHERE event_id % 20 <> 0), {_seeds('r0', 14)}, {_assigned('r0', 14)}"
 EV_TWO = f"{EV_INDEX}, {_probes('q', 14, 4)}, {_count('q', 'a', 14, 2, 'fast', False)}, {_count('q', 'a', 14, 4, 'full_', False)}, two AS (SELECT qid, fast.fraud_count AS fast_count, CASE WHEN fast.fraud_count IN (2, 3) THEN full_.fraud_count ELSE fast.fraud_count END AS fraud_count FROM fast JOIN full_ USING (qid))"
+#: Every event is a reference; a query leaves out its own row only.
+EV_ALL = f"WITH {EV}, q AS (SELECT event_id AS ref_id, {_names('q', 14)} FROM f WHERE event_id % 20 = 0), r0 AS (SELECT event_id AS ref_id, label, {_names('q', 14)} FROM f), {_seeds('r0', 14)}, {_assigned('r0', 14)}, {_probes('q', 14, 4)}, {_count('q', 'a', 14, 2, 'fast', True)}, {_count('q', 'a', 14, 4, 'full_', True)}, two AS (SELECT qid, fast.fraud_count AS fast_count, CASE WHEN fast.fraud_count IN (2, 3) THEN full_.fraud_count ELSE fast.fraud_count END AS fraud_count FROM fast JOIN full_ USING (qid))"
 DECISION = "fraud_count / 5.0::DOUBLE AS fraud_score, fraud_count < 3 AS approved"
 
 
@@ -108,9 +111,10 @@ def ev_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.vectorize(P.parse_payload(event_payloads(spark, sf_dir)))
 
 
-def ev_index(spark: SparkSession, sf_dir: str):
+def ev_index(spark: SparkSession, sf_dir: str, every: bool = False):
+    """Queries and the index of the other events, or of every event."""
     rows = ev_rows(spark, sf_dir)
-    refs = rows.filter("event_id % 20 <> 0").select(F.col("event_id").alias("ref_id"), *lane_names(14), "label")
+    refs = (rows if every else rows.filter("event_id % 20 <> 0")).select(F.col("event_id").alias("ref_id"), *lane_names(14), "label")
     # the reference set and its cells are written once: training and search read them several times
     refs = written(refs)
     seeds = small(train.first_seeds(refs, K, 14))
@@ -358,6 +362,13 @@ def score_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(built).score(asked, "event_id").select("event_id", "status", "fraud_count", "fraud_score", "approved")
 
 
+@query(f"{EV_ALL} SELECT qid AS event_id, fast_count, fraud_count, {DECISION} FROM two")
+def score_against_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by an index of every event, where a query leaves out its own row only."""
+    queries, built = ev_index(spark, sf_dir, every=True)
+    return decide.decide(search.two_pass(queries, built, leave_out_self=True)).select(F.col("qid").alias("event_id"), "fast_count", "fraud_count", "fraud_score", "approved")
+
+
 @query()
 def topk_slot_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with slots filled in scan order; tests hold them against a plain loop."""

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tallyvec.plans import queries
 from tallyvec.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,6 +27,13 @@ def test_oracle(spark, con, sf, name):
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(ORACLES[name]).df())
 
 
+def test_every_event_is_a_reference(spark, con, sf):
+    name = "score_against_all_events"
+    assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(ORACLES[name]).df())
+    _, built = queries.ev_index(spark, sf, every=True)
+    assert built.lists.count() == built.lists.select("ref_id").distinct().count() == con.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 def test_trained_index_finds_the_neighbours(spark, con, sf):
     """Recall@5 of the registered search through index.build, by plain SQL, and the query that reports it."""
     found = {(r["qid"], r["ref_id"]) for r in QUERIES["trained_index_search"](spark, sf).collect()}

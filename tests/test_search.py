@@ -54,6 +54,14 @@ def test_second_pass_only_in_band(refs, built):
         assert r["fraud_count"] == (exact[r["qid"]] if r["fast_count"] in (2, 3) else r["fast_count"])
 
 
+def test_missing_neighbours_are_legitimate(refs):
+    few = refs.filter("ref_id < 4")
+    found = search.brute_force(queries(refs), few, DIMS, leave_out_self=True)
+    labels = {r["ref_id"]: r["label"] for r in few.collect()}
+    got = {r["qid"]: r["fraud_count"] for r in search.fraud_counts(queries(refs), found).collect()}
+    assert len(got) == 300 and all(n == sum(v for i, v in labels.items() if i != q) for q, n in got.items())
+
+
 def test_slot_ties(refs):
     found = search.brute_force(queries(refs), refs, DIMS, leave_out_self=True)
     got = {r["qid"]: r["fraud_count"] for r in search.fraud_counts(queries(refs), found, ties="slot").collect()}
