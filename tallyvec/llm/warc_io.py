@@ -55,12 +55,17 @@ def _record(kind: Column | str, headers: list[tuple[str, Column]], block: Column
 
 
 def with_first_captures(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and what the records need: digest, length, record_type, refers_to."""
+    """page_id, url, html and what the records need: digest, length, record_type, refers_to.
+
+    Where page ids of a digest repeat, copy tells its rows apart and head_copy is the copy of the one that is referred to.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("length"))
+    rows = pages.select("page_id", "url", html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("length"), F.monotonically_increasing_id().alias("row"))
     # sizes and digests are counted before any row moves; the join's large groups are dealt anew by AQE
-    heads = rows.groupBy("digest").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("group_rows"))
-    joined = rows.join(heads.withColumnRenamed("digest", "head_digest"), F.col("digest") == F.col("head_digest")).drop("head_digest")
+    per_page = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    heads = per_page.groupBy("digest").agg(F.max(F.struct("page_id", "first")).alias("top"), F.sum("n").alias("group_rows"), (F.max("n") > 1).alias("repeats"))
+    heads = heads.select("digest", F.col("top.page_id").alias("head"), "group_rows", "repeats", F.when(F.col("repeats"), F.col("top.first")).alias("head_copy"))
+    joined = rows.join(heads.withColumnRenamed("digest", "head_digest"), F.col("digest") == F.col("head_digest")).drop("head_digest").withColumn("copy", F.when(F.col("repeats"), F.col("row"))).drop("row", "repeats")
     is_head = F.col("head").isNull() | F.coalesce(F.col("page_id") == F.col("head"), F.lit(False))
     return joined.withColumn("record_type", F.when(is_head, "response").otherwise("revisit")).withColumn("refers_to", F.when(~is_head, F.col("head")))
 
@@ -70,7 +75,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     when = F.lit(date)
     url = F.regexp_replace(F.trim("url"), r"[\s\x00-\x1f]+", "%20")
     target = F.when(F.length(url) > 0, url)
-    own, asked, about = (_urn(F.lit(kind), F.col("page_id"), F.col("digest")) for kind in ("capture", "request", "metadata"))
+    own, asked, about = (_urn(F.lit(kind), F.col("page_id"), F.col("digest"), F.col("copy")) for kind in ("capture", "request", "metadata"))
     sha1 = F.concat(F.lit("sha1:"), F.col("digest"))
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
     route = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
@@ -80,7 +85,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     request = _record("request", [("WARC-Record-ID", asked), ("WARC-Date", when), ("WARC-Target-URI", target), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http;msgtype=request"))], asking)
     response = _record(F.col("record_type"), [
         ("WARC-Record-ID", own), ("WARC-Date", when), ("WARC-Target-URI", target), ("WARC-Payload-Digest", sha1),
-        ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))), ("WARC-Refers-To", F.when(revisit, _urn(F.lit("capture"), F.col("refers_to"), F.col("digest")))),
+        ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))), ("WARC-Refers-To", F.when(revisit, _urn(F.lit("capture"), F.col("refers_to"), F.col("digest"), F.col("head_copy")))),
         ("Content-Type", F.lit("application/http;msgtype=response")),
     ], F.when(revisit, head).otherwise(F.concat(head, F.col("html"))))
     notes = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f"{CRLF}payloadLength: "), F.col("length").cast("string"), F.lit(f"{CRLF}refersToPage: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(CRLF))
@@ -145,8 +150,7 @@ def read_records(spark, path: str, keep_payload: bool = True) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: its request, response (or revisit) and metadata, joined through concurrent-to.
 
-    A record that names no other is its own capture; of repeated records one is kept, so page ids that
-    repeat with equal payloads are one capture.
+    A record that names no other is its own capture; each page row has record ids of its own.
     """
     body = F.struct(*[c for c in records.columns if c != "concurrent_to"])
     kind = F.col("kind")

@@ -126,6 +126,16 @@ def test_op4(spark, sf):
     assert got[1]["metadata"]["refers_to_page"] == 2 and bytes(got[5]["response"]["payload"]) == b"WARC/1.1\r\n\r\n\r\n" and got[1]["request"] is not None
 
 
+def test_op4_returns_every_row(spark):
+    rows = [(1, "http://a/", "x"), (1, "http://a/", "x"), (1, "http://b/", "x"), (0, "http://c/", "x"), (None, "http://d/", "y"), (None, "http://e/", "y"), (None, None, "y"), (7, "http://f/", "z")]
+    got = warc_io.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), keep_payload=True).collect()
+    key = lambda i, u: (i is None, i or 0, u or "")
+    assert sorted(key(r["metadata"]["page_id"], r["response"]["target"]) for r in got) == sorted(key(i, u) for i, u, _ in rows)
+    assert all(r["request"]["target"] == r["response"]["target"] == r["metadata"]["target"] for r in got)
+    old = next(r for r in got if r["metadata"]["page_id"] == 0)
+    assert old["response"]["kind"] == "revisit" and old["response"]["refers_to"] in {r["response"]["record_id"] for r in got if r["metadata"]["page_id"] == 1}
+
+
 def test_op5(spark):
     rng = random.Random(5)
     clean = [" ".join(rng.choice("the sun is warm and trees grow by rivers".split()) for _ in range(40)) for _ in range(300)]
