@@ -6,15 +6,20 @@ tokens; otherwise the next shorter match is tried, and a bitfield remembers the
 which no valid continuation exists.  A sequence whose neighbours are all compatible is the one
 that merging yields, so the result equals the library's.
 
-No piece has a space mark after another character and bytes-fallback characters never merge, so
-a text falls apart into runs (space marks and the word after them) that are encoded on their own
-and remembered.
-
-Null texts count as empty: no ids, empty decoded text.  Extra columns are left alone.
+No piece has a space mark after another character, none has a line end, and bytes-fallback
+characters never merge, so a text falls apart into runs (space marks and the word after them) that
+are encoded on their own and remembered in two generations of bounded size.  The model is refused
+where one of these doesn't hold.
+
+Null texts count as empty: no ids, empty decoded text; texts without words are encoded like any
+other.  Each row is handled on its own: rows that repeat give equal rows, null ids stay null, an
+empty table gives an empty result.  A very long text costs memory in proportion to its length.
+Extra columns are left alone (encode, decode) or not looked at (round_trip_digest).
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import struct
@@ -25,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Runs remembered by one Python worker; runs longer than LONG are not remembered.
-CACHE_RUNS, LONG = 200_000, 48
+EMPTY = hashlib.sha256(b"").hexdigest()
+#: Runs in each of two generations that one Python worker remembers; runs longer than LONG are not remembered.
+CACHE_RUNS, LONG = 300_000, 48
+#: A sign for each byte that belongs to no character.
+codecs.register_error("tallyvec-bytes", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 def _fields(b: bytes):
@@ -89,6 +97,8 @@ class PieceModel:
         alphabet = {c for p in self.score for c in p}
         other = "".join(map(re.escape, sorted(alphabet - {SPACE})))
         self.run = re.compile(f"{SPACE}*[{other}]+|{SPACE}+|[^{other}{SPACE}]")
+        if "\n" in alphabet or not all(c in self.score for c in alphabet):
+            raise ValueError("a line end inside a piece, or a character of a piece that is none itself")
         self.known = alphabet
         self.valid = {p: i for p, (_, i) in self.score.items() if len(p) == 1 or self._merged(p) == [p]}
         self.auto = ahocorasick.Automaton()
@@ -96,7 +106,8 @@ class PieceModel:
             self.auto.add_word(p, p)
         self.auto.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.valid), None) for p in self.valid}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.written = {p: str(i) for p, i in self.valid.items()}
+        self.after: dict = {}
         self.word, self.bare = _Runs(self, SPACE), _Runs(self, "")
 
     def _merged(self, text: str) -> list[str]:
@@ -114,52 +125,80 @@ class PieceModel:
         return parts
 
     def _compatible(self, a: str, b: str) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > 300_000:
-                self.fits.clear()
-            known = self.fits[a, b] = self._merged(a + b) == [a, b]
-        return known
-
-    def _backtrack(self, text: str) -> list[str]:
-        """Tokens of a run of known characters."""
-        longest: list[str | None] = [None] * len(text)
-        for end, p in self.auto.iter(text):  # later ends overwrite: the longest from each start stays
-            longest[end + 1 - len(p)] = p
-        n, pos, tokens = len(text), 0, []
+        return self._merged(a + b) == [a, b]
+
+    def _after(self, a: str, b: str | None) -> str | None:
+        """The longest of b and the shorter pieces that it begins with that may follow a."""
+        found = self.after.get((a, b), self)
+        if found is self:
+            found = b
+            while found is not None and not self._compatible(a, found):
+                found = self.shorter[found]
+            if len(self.after) > 400_000:
+                self.after.clear()
+            self.after[a, b] = found
+        return found
+
+    def _tokens(self, text: str) -> list[str]:
+        """Tokens of a run of known characters: the longest matches, from the first that doesn't fit on by backtracking."""
+        tokens = [p for _, p in self.auto.iter_long(text)]
+        known, a = self.after, tokens[0]
+        for k in range(1, len(tokens)):
+            b = tokens[k]
+            found = known.get((a, b), self)
+            if found is self:
+                found = self._after(a, b)
+            if found is not b:
+                return self._backtrack(text, tokens[:k], found)
+            a = b
+        return tokens
+
+    def _backtrack(self, text: str, tokens: list[str], token: str | None) -> list[str]:
+        """tokens, which fit each other, made a whole encoding; token is the next candidate that fits after them."""
+        n, pos, known = len(text), sum(map(len, tokens)), self.after
         failed = bytearray(n // 8 + 1)
-        token = longest[0]
-        while pos < n:
-            last = tokens[-1] if tokens else None
-            while token is not None:
-                end = pos + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self._compatible(last, token)):
-                    break
-                token = self.shorter[token]
+        greedy = None  # longest matches after the last candidate
+        while True:
             if token is not None:
+                end = pos + len(token)
+                if failed[end >> 3] >> (end & 7) & 1:
+                    token, greedy = self.shorter[token], None
+                    if tokens:
+                        token = self._after(tokens[-1], token)
+                    continue
                 tokens.append(token)
                 pos = end
-                token = longest[pos] if pos < n else None
+                if pos == n:
+                    return tokens
+                greedy = greedy or self.auto.iter_long(text, pos)
+                longest = next(greedy)[1]
+                found = known.get((token, longest), self)
+                token = self._after(token, longest) if found is self else found
+                if token is not longest:
+                    greedy = None
             else:
                 if not tokens:
                     raise ValueError(f"no encoding of {text[:80]!r}")
                 failed[pos >> 3] |= 1 << (pos & 7)
-                token = tokens.pop()
-                pos -= len(token)
-                token = self.shorter[token]
-        return tokens
-
-    def run_ids(self, run: str) -> list[int]:
+                last = tokens.pop()
+                pos -= len(last)
+                token, greedy = self.shorter[last], None
+                if tokens:
+                    token = self._after(tokens[-1], token)
+
+    def run_parts(self, run: str) -> tuple[list[str], str]:
+        """(ids as text, what they decode to) of a run."""
         if run[0] in self.known:
-            valid = self.valid
-            return [valid[t] for t in self._backtrack(run)]
-        return [self.byte_ids.get(b, self.unk) for b in run.encode()] if len(self.byte_ids) == 256 else [self.unk]
+            tokens = self._tokens(run)
+            return list(map(self.written.__getitem__, tokens)), "".join(tokens).replace(SPACE, " ")
+        ids = [self.byte_ids.get(b, self.unk) for b in run.encode()] if len(self.byte_ids) == 256 else [self.unk]
+        return list(map(str, ids)), self.piece_text(ids).decode("utf-8", "tallyvec-bytes")
 
     def runs(self, marked: str) -> list[str]:
         return self.run.findall(marked)
 
-    def encode_parts(self, text: str) -> list[tuple[int, str, str, tuple]]:
-        """(number of ids, ids joined by commas, their text with space marks as spaces, ids) by run."""
+    def encode_parts(self, text: str) -> list[tuple[str, str]]:
+        """(ids joined by commas, their text with space marks as spaces) by run."""
         if not text:
             return []
         out: list = []
@@ -174,7 +213,7 @@ class PieceModel:
             parts = line.split(" ")
             if "" in parts[0 if head else 1 :]:
                 marked = (SPACE if head else "") + line.replace(" ", SPACE)
-                out += [bare[r] for r in self.runs(marked)]
+                out += map(bare.__getitem__, self.runs(marked))
             else:
                 if not head:
                     if parts[0]:
@@ -184,7 +223,17 @@ class PieceModel:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.encode_parts(text) for i in p[3]]
+        return [int(i) for p in self.encode_parts(text) for i in p[0].split(",")]
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, and of the text that they decode to."""
+        parts = self.encode_parts(text)
+        if not parts:
+            return 0, EMPTY, EMPTY
+        ids, decoded = ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
+        if self.dummy and decoded[:1] == " " and self.pieces[int(parts[0][0].split(",", 1)[0])].startswith(SPACE):
+            decoded = decoded[1:]
+        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def piece_text(self, ids) -> bytes:
         out = []
@@ -200,25 +249,32 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of ids; the space that the encoder put first goes, broken byte runs become U+FFFD."""
-        text = self.piece_text(ids).decode("utf-8", "replace")
+        text = self.piece_text(ids).decode("utf-8", "tallyvec-bytes")
         first = next((i for i in ids if i not in self.control), None)
         strip = self.dummy and first is not None and self.pieces[first].startswith(SPACE)
         return text[1:] if strip else text
 
 
 class _Runs(dict):
-    """Encoded runs by their text, with or without a space mark before it."""
+    """Encoded runs by their text, with or without a space mark before it.
+
+    A full generation becomes the old one, whose runs come back when they are met again: words that
+    go on being met are never encoded twice, rare ones are forgotten.
+    """
 
     def __init__(self, model: PieceModel, before: str):
         super().__init__()
-        self.model, self.before = model, before
+        self.model, self.before, self.old = model, before, {}
 
     def __missing__(self, run: str):
-        model = self.model
-        ids = tuple(i for r in model.runs(self.before + run) for i in model.run_ids(r))
-        value = (len(ids), ",".join(map(str, ids)), model.piece_text(ids).decode("utf-8", "replace"), ids)
+        value = self.old.get(run)
+        if value is None:
+            model = self.model
+            ids, texts = zip(*map(model.run_parts, model.runs(self.before + run)), strict=True)
+            value = ",".join([i for part in ids for i in part]), "".join(texts)
         if len(run) <= LONG:
             if len(self) >= CACHE_RUNS:
+                self.old = dict(self)
                 self.clear()
             self[run] = value
         return value
@@ -259,16 +315,9 @@ def round_trip_digest(df: DataFrame, model_path: str, doc_id: str = "doc_id", te
     def run(batches):
         model = load(model_path)
         for b in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for t in b.column(1).to_pylist():
-                parts = model.encode_parts(t or "")
-                decoded = "".join([p[2] for p in parts])
-                if parts and model.dummy and decoded[:1] == " " and model.pieces[parts[0][3][0]].startswith(SPACE):
-                    decoded = decoded[1:]
-                counts.append(sum([p[0] for p in parts]))
-                ids_sha.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [model.digest(t or "") for t in b.column(1).to_pylist()]
+            counts, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(df[doc_id], df[text]).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -38,6 +38,27 @@ def test_pieces_equal_the_library():
         assert own.encode(text) == ids and own.decode(ids) == lib.decode(ids)
 
 
+def test_broken_byte_runs_decode_like_the_library():
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=default_model()), piece_bpe.load(default_model())
+    rng, byte = random.Random(2), own.byte_ids
+    for raw in [b"\xe2\x96", b"\xed\xa0\x80", b"\xf0\x9f\x98", b"\xc3\x28", b"\x80\x80", *(bytes(rng.choice(b"\xe2\x96\x81\xf0\x9f\xc3\xa9\x41\xff") for _ in range(9)) for _ in range(300))]:
+        ids = [byte[b] for b in raw] + rng.sample(lib.encode("and then"), 2)
+        assert own.decode(ids) == lib.decode(ids)
+
+
+def test_runs_are_forgotten_without_harm(monkeypatch):
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=default_model()), piece_bpe.PieceModel(default_model())
+    monkeypatch.setattr(piece_bpe, "CACHE_RUNS", 20)
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abeinorst.é") for _ in range(rng.randint(0, 12))) for _ in range(30))
+        assert own.encode(text) == lib.encode(text) and max(len(own.word), len(own.word.old)) <= 20
+
+
 def test_op1(spark, sf):
     import sentencepiece
 
@@ -49,6 +70,11 @@ def test_op1(spark, sf):
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
     both = piece_bpe.decode(piece_bpe.encode(edge(spark), default_model()), default_model(), text="back").collect()
     assert all(r["back"] == (r["text"] or "") for r in both) and len(both) == len(EDGE)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(i, len(ids := lib.encode(t or "")), sha(",".join(map(str, ids))), sha(lib.decode(ids))) for i, t in EDGE]
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(piece_bpe.round_trip_digest(edge(spark), default_model()).collect()) == order(want)
+    assert piece_bpe.round_trip_digest(edge(spark, []), default_model()).count() == 0 == piece_bpe.encode(edge(spark, []), default_model()).count()
 
 
 def test_op2(spark, sf):
