@@ -26,8 +26,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other documents within 3 bits (n_near) and within the radius of near copies (n_near_copies), for the ids that are queries (divisible by 20)."""
     prints = stage_table(simhash.with_edited(_read(spark, sf_dir, "documents")), "prints")
-    found = simhash.hamming_search(prints.filter("doc_id % 20 = 0"), prints, simhash.NEAR_COPY_RADIUS)
-    near = found.groupBy("q0", "q1").agg((F.sum(F.when(F.col("distance") <= 3, F.col("n"))) - 1).alias("n_near"), (F.sum("n") - 1).alias("n_near_copies"))
+    found = simhash.near_counts(prints.filter("doc_id % 20 = 0"), prints, {"n_near": 3, "n_near_copies": simhash.NEAR_COPY_RADIUS})
+    near = found.select("q0", "q1", *[(F.col(c) - 1).alias(c) for c in ("n_near", "n_near_copies")])
     joined = prints.join(near, (prints.fp0 == near.q0) & (prints.fp1 == near.q1), "left")
     likeness = lambda a, b: simhash.likeness(("fp0", "fp1"), (a, b))
     return joined.select("doc_id", "n_chars", "edited_sha256", simhash.as_text("fp0", "fp1").alias("fingerprint"), simhash.as_text("ed0", "ed1").alias("edited_fingerprint"), likeness("ed0", "ed1").alias("near_edited"), likeness("nx0", "nx1").alias("near_next"), *[F.when(F.col("doc_id") % 20 == 0, F.col(c)).alias(c) for c in ("n_near", "n_near_copies")])

@@ -10,8 +10,9 @@ share, so a table for each block, asked with that many bits flipped, finds every
 in the first table that has it.
 
 Null texts count as empty; texts without words have an all-zero fingerprint.  Rows that repeat id and
-text give one row.  Ties in votes give 0.  Null ids come first in the order of ids.  An empty table
-gives an empty result.
+text vote once and give one row.  Ties in votes give 0.  Null ids come first in the order of ids and
+are ordered by hashes of their texts.  Counters hold texts of up to 4 GB.  An empty table gives an
+empty result.  Only the id and the text are looked at, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ NO_ID = -(1 << 63)
 LANES = 0x0000000100000001
 #: Buckets of ids at most, and rows that one should have.
 MAX_BUCKETS, BUCKET_ROWS = 4096, 250_000
+#: Fingerprints of one key that one row carries, about, and ranges that null ids are dealt to.
+MEMBERS, NULL_RANGES = 256, 4096
 #: Characters between words, replaced by spaces.
 BREAKS = "\n\r\t.,;:!?|\"()"
 
@@ -88,20 +91,22 @@ def _bucket(rows: DataFrame, key: str) -> Column:
     cuts = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(found or [0]))])
     steps = F.array(*[F.lit(n >> i) for i in range(1, n.bit_length())])
     place = F.aggregate(steps, F.lit(0), lambda p, s: p + F.when(F.get(cuts, p + s - 1) < F.col(key), s).otherwise(0))
-    return F.when(F.col(key).isNull(), -1).otherwise(place)
+    return place
 
 
 def next_in_order(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
-    """rows (distinct key and tie) with __next_<column> of the following row; the first follows the last.
+    """rows (distinct key and tie, a number) with __next_<column> of the following row; the first follows the last.
 
-    Rows are numbered in quantile ranges of the key; only the first row of each range, MAX_BUCKETS at
-    most, is looked at by one task.
+    Rows are numbered in quantile ranges of the key, those of the missing id (NO_ID) in ranges of the
+    tie; only the first row of each range, MAX_BUCKETS + NULL_RANGES at most, is looked at by one task.
     """
     names = [key, tie, *carry]
-    ranged = rows.withColumn("__b", _bucket(rows, key))
-    order = [F.col(key).asc_nulls_first(), F.col(tie)]
+    known = rows.filter(F.col(key) != NO_ID)
+    of_tie = F.shiftright(F.col(tie), 64 - (NULL_RANGES.bit_length() - 1)).cast("int") - NULL_RANGES // 2 - 1
+    ranged = rows.withColumn("__b", F.when(F.col(key) == NO_ID, of_tie).otherwise(_bucket(known, key)))
+    order = [F.col(key), F.col(tie)]
     inside = Window.partitionBy("__b").orderBy(*order)
-    heads = ranged.groupBy("__b").agg(F.min(F.struct(F.col(key).isNotNull(), *[F.col(c) for c in names])).alias("__head"))
+    heads = ranged.groupBy("__b").agg(F.min(F.struct(*names)).alias("__head"))
     along = Window.orderBy("__b")
     whole = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("__b", F.coalesce(F.lead("__head").over(along), F.first("__head").over(whole)).alias("__after"))
@@ -122,7 +127,8 @@ def with_edited(docs: DataFrame) -> DataFrame:
     wanted = follow.select(F.col("did").alias("to_id"), F.col("hash").alias("to_hash"), half.alias("take"), F.col("__next_did").alias("did"), F.col("__next_hash").alias("hash"))
     sent = base.join(wanted, ["did", "hash"])
     heads = sent.select("to_id", "to_hash", F.substring(F.col("text"), F.lit(1), F.col("take")).alias("head")).groupBy(F.col("to_id").alias("did"), F.col("to_hash").alias("hash")).agg(F.max("head").alias("head"))
-    both = base.join(heads, ["did", "hash"]).select("did", "hash", "text", "head")
+    # rows lie sorted by did and hash after the join: repeated rows become one without another exchange
+    both = base.join(heads, ["did", "hash"]).groupBy("did", "hash").agg(F.first("text").alias("text"), F.first("head").alias("head"))
     size = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - F.floor(size / 2).cast("int")), F.col("head"))
     two = both.select("did", "hash", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("t"))
@@ -157,25 +163,67 @@ def block(half: int, shift: int, width: int, low: str, high: str) -> Column:
     return F.shiftrightunsigned(F.col(high if half else low), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def hamming_search(queries: DataFrame, corpus: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs (q0, q1, fp0, fp1, n, distance) of distinct query and corpus fingerprints within the radius.
+def _tables(corpus: DataFrame, plan: list) -> DataFrame:
+    """Distinct fingerprints with the number of their rows, one row for each table: fp0, fp1, n, table, key."""
+    return corpus.groupBy("fp0", "fp1").agg(F.count(F.lit(1)).alias("n")).select("fp0", "fp1", "n", F.posexplode(F.array(*_keys(plan, "fp0", "fp1"))).alias("table", "key"))
 
-    corpus: fp0, fp1; n counts its rows with that fingerprint.  Equal fingerprints are merged first,
-    so groups of copies cost one row.  A query looks into a table for its block with every set of
-    flipped bits that the table's errors allow (masks, a number of rows fixed by the radius).
+
+def _keys(plan: list, low: str, high: str) -> list[Column]:
+    return [F.lit(t << 32).bitwiseOR(block(*b[:3], low, high)) for t, b in enumerate(plan)]
+
+
+def _asked(queries: DataFrame, plan: list) -> DataFrame:
+    """Distinct query fingerprints (q0, q1) with every key (q_key) under which a table may hold a near one.
+
+    A key is asked with each set of flipped bits that the table's errors allow (masks, a number of rows
+    fixed by the radius).
     """
-    spark, plan = corpus.sparkSession, block_plan(radius)
-    keys = lambda low, high: [F.lit(t << 32).bitwiseOR(block(*b[:3], low, high)) for t, b in enumerate(plan)]
-    stored = corpus.groupBy("fp0", "fp1").agg(F.count(F.lit(1)).alias("n")).select("fp0", "fp1", "n", F.posexplode(F.array(*keys("fp0", "fp1"))).alias("table", "key"))
+    spark = queries.sparkSession
     flips = [(t, sum(1 << i for i in bits)) for t, (_, _, width, errors) in enumerate(plan) for k in range(errors + 1) for bits in combinations(range(width), k)]
     masks = spark.createDataFrame(flips, "q_table int, mask long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = queries.select(F.col("fp0").alias("q0"), F.col("fp1").alias("q1")).repartition(parts, "q0", "q1").distinct().crossJoin(F.broadcast(masks))
-    asked = asked.select("q0", "q1", F.element_at(F.array(*keys("q0", "q1")), F.col("q_table") + 1).bitwiseXOR(F.col("mask")).alias("q_key"))
-    earlier = F.lit(False)
+    return asked.select("q0", "q1", F.element_at(F.array(*_keys(plan, "q0", "q1")), F.col("q_table") + 1).bitwiseXOR(F.col("mask")).alias("q_key"))
+
+
+def _new_pair(plan: list, table: Column, p: tuple[Column, Column], q: tuple[Column, Column]) -> Column:
+    """No earlier table holds the pair: it counts in the first that does."""
+    out = F.lit(True)
     for t, (half, shift, width, errors) in enumerate(plan[:-1]):
-        differ = block(half, shift, width, "fp0", "fp1").bitwiseXOR(block(half, shift, width, "q0", "q1"))
-        earlier = earlier | ((F.col("table") > t) & (F.bit_count(differ) <= errors))
-    near = distance(("fp0", "fp1"), ("q0", "q1"))
-    found = asked.join(stored, (F.col("q_key") == F.col("key")) & (near <= radius) & ~earlier)
+        differ = F.shiftrightunsigned(p[half].bitwiseXOR(q[half]), shift).bitwiseAND(F.lit((1 << width) - 1))
+        out = out & ((table <= t) | (F.bit_count(differ) > errors))
+    return out
+
+
+def hamming_search(queries: DataFrame, corpus: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (q0, q1, fp0, fp1, n, distance) of distinct query and corpus fingerprints within the radius.
+
+    corpus: fp0, fp1; n counts its rows with that fingerprint.  Equal fingerprints are merged first,
+    so groups of copies cost one row.
+    """
+    plan = block_plan(radius)
+    c, near = F.col, distance(("fp0", "fp1"), ("q0", "q1"))
+    new = _new_pair(plan, c("table"), (c("fp0"), c("fp1")), (c("q0"), c("q1")))
+    found = _asked(queries, plan).join(_tables(corpus, plan), (c("q_key") == c("key")) & (near <= radius) & new)
     return found.select("q0", "q1", "fp0", "fp1", "n", near.alias("distance"))
+
+
+def near_counts(queries: DataFrame, corpus: DataFrame, radii: dict[str, int]) -> DataFrame:
+    """q0, q1 and, by name, how many rows of the corpus lie within each radius; a query counts itself where the corpus has it.
+
+    The tables are those of hamming_search for the largest radius.  The fingerprints of one key travel
+    in rows of about MEMBERS and are compared inside the row, so a key that many share makes no row for
+    each pair; a key with more of them is dealt to several rows by a hash.
+    """
+    plan = block_plan(max(radii.values()))
+    stored = _tables(corpus, plan)
+    many = stored.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > MEMBERS)
+    parts = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / MEMBERS)
+    packed = stored.join(many, "key", "left").withColumn("part", F.pmod(F.xxhash64("fp0", "fp1"), parts)).groupBy("key", "part").agg(F.collect_list(F.struct("fp0", "fp1", "n")).alias("members"))
+    met = _asked(queries, plan).join(packed, F.col("q_key") == F.col("key"))
+    q, table = (F.col("q0"), F.col("q1")), F.shiftright("key", 32)
+    away = lambda m: F.bit_count(m["fp0"].bitwiseXOR(q[0])) + F.bit_count(m["fp1"].bitwiseXOR(q[1]))
+    within = F.filter("members", lambda m: (away(m) <= max(radii.values())) & _new_pair(plan, table, (m["fp0"], m["fp1"]), q))
+    near = met.select("q0", "q1", F.transform(within, lambda m: F.struct(m["n"].alias("n"), away(m).alias("d"))).alias("near")).filter(F.size("near") > 0)
+    count = lambda r: F.aggregate("near", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["d"] <= r, x["n"]).otherwise(0))
+    return near.groupBy("q0", "q1").agg(*[F.sum(count(r)).alias(name) for name, r in radii.items()])
