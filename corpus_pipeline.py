@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them to documents, each
 result written to the shared folder and read again.  All stages but the last return the columns of
-documents; empty tables pass through with these columns.
+documents; other columns are dropped, empty tables pass through with these columns.  Null texts are
+clean, in no group, without entities, one token long for the mix, and encoded as empty; null ids are
+kept like any other, and drawn by their texts; rows that repeat are scored, replaced and drawn alike,
+and one of them passes the near-duplicate stage if it has words.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyvec.llm import jaccard_join, mixture, piece_bpe, surrogates, toxic_lexicon
 from tallyvec.llm.common import stage_table
-from tallyvec.llm.queries import default_model
+from tallyvec.llm.queries import SURROGATE_KEY, default_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,15 +27,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows without words are in no group and stay."""
-    groups = jaccard_join.jaccard_groups(docs.select("doc_id", "text"))
-    dropped = groups.filter(F.col("component_id").isNull() | (F.col("component_id") < F.col("doc_id"))).filter(F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group: that with the smallest id, null ids last; of rows that repeat it one.  Rows without words stay.
+
+    Rows are told apart by their places in the table, so an id that repeats with other texts is no group.
+    """
+    rows = docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id())
+    groups = jaccard_join.jaccard_groups(rows.select("__row", "text"), doc_id="__row").filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    found = rows.select("__row", "doc_id").join(groups, "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = stage_table(found.groupBy("__group").agg(first.alias("first")).select("__group", F.col("first.__row").alias("__row")), "kept")
+    dropped = groups.join(kept.select("__row"), "__row", "left_anti").select("__row")
+    return rows.join(dropped, "__row", "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities of the texts replaced; n_chars follows the new text."""
-    out = surrogates.replace(docs.select(*COLUMNS))
+    out = surrogates.replace(docs.select(*COLUMNS), SURROGATE_KEY)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
@@ -42,9 +52,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text, with source and language."""
-    digests = piece_bpe.round_trip_digest(docs, default_model())
-    return digests
+    """Number of tokens and digests of ids and decoded text."""
+    return piece_bpe.round_trip_digest(docs, default_model())
 
 
 STAGES = [
