@@ -1,4 +1,4 @@
-"""build-index and score, for spark-submit."""
+"""build-index, score and stream, for spark-submit."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .operators import index
 from .plans.config import EngineConfig
 from .plans.engine import Engine
 from .sources.references import read_references
+from .streaming.score import score_stream
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,6 +27,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("index")
     s.add_argument("input", help="text file, a payload a line")
     s.add_argument("output")
+    t = sub.add_parser("stream")
+    t.add_argument("index")
+    t.add_argument("output")
+    t.add_argument("checkpoint")
+    t.add_argument("--format", default="text", help="streaming source, e.g. text, kafka, socket")
+    t.add_argument("--option", action="append", default=[], metavar="NAME=VALUE", help="of the source, e.g. path=... or subscribe=...")
+    t.add_argument("--every", help="time between batches, e.g. '5 seconds'; else what is there is scored once")
     return p
 
 
@@ -37,6 +45,12 @@ def main(args: list[str] | None = None) -> None:
         built = index.build(read_references(spark, a.input), config)
         index.save(built, a.output)
         print(index.list_stats(built.stats).first().asDict())
+    elif a.command == "stream":
+        source = spark.readStream.format(a.format).options(**dict(x.split("=", 1) for x in a.option)).load()
+        rows = source.select(F.col("value").cast("string").alias("value")).withColumn("id", F.expr("uuid()"))
+        engine = Engine.load(spark, a.index, EngineConfig.from_env())
+        engine.warm_up(spark)
+        score_stream(engine, rows, "id", a.output, a.checkpoint, trigger={"processingTime": a.every} if a.every else None).awaitTermination()
     else:
         rows = spark.read.text(a.input).withColumn("row", F.monotonically_increasing_id())
         Engine.load(spark, a.index).score(rows, "row").write.mode("overwrite").parquet(a.output)

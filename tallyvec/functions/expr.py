@@ -60,7 +60,7 @@ def sq_dist_f32(a: list[Column], b: list[Column]) -> Column:
 
 def half_away(total: Column, n: Column) -> Column:
     """total / n of integers, rounded half away from zero, in integers."""
-    return (F.sign(total) * F.floor((2 * F.abs(total) + n) / (2 * n))).cast("bigint")
+    return F.sign(total).cast("bigint") * F.call_function("div", 2 * F.abs(total) + n, 2 * n)
 
 
 def lane_names(dims: int, prefix: str = "q") -> list[str]:

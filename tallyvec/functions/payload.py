@@ -1,8 +1,8 @@
 """Transaction payloads: JSON text to typed fields, with a validity flag and a reason.
 
 Fields are read by name.  A payload is invalid as a whole if any field is missing or malformed; it is
-never dropped.  Where JSON reading alone can't tell (an absent or a null last transaction, unquoted
-ids), the raw text decides.
+never dropped.  Where JSON reading alone can't tell, the raw text decides: a last transaction may be
+null but not absent, and an id must stand there in quotes, at whatever place of its object.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ WS = r"[ \t\r\n]*"
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 #: Guards on the raw text.
 HAS_LAST = rf'"last_transaction"{WS}:{WS}(null|[{{])'
-QUOTED_ID = rf'^{WS}[{{]{WS}"id"{WS}:{WS}"'
-QUOTED_MERCHANT = rf'"merchant"{WS}:{WS}[{{]{WS}"id"{WS}:{WS}"'
+ID_KEY = rf'"id"{WS}:{WS}"'
 
 
 def iso_time(s: Column) -> Column:
@@ -65,6 +64,12 @@ def scan_mcc(text: Column) -> Column:
     return F.when(digits != "", F.least(F.coalesce(digits.try_cast("bigint"), F.lit(MAX_U32)), F.lit(MAX_U32)))
 
 
+def quoted_id(raw: Column, value: Column) -> Column:
+    """Is the id of this value quoted?  Of a text with escapes some quoted id will do."""
+    squeezed = F.regexp_replace(raw, ID_KEY, '"id":"')
+    return squeezed.contains(F.concat(F.lit('"id":"'), value, F.lit('"'))) | (raw.contains("\\") & squeezed.contains('"id":"'))
+
+
 def is_unknown_merchant(known: Column, merchant: Column) -> Column:
     return ~F.coalesce(F.array_contains(known, merchant), F.lit(False))
 
@@ -81,14 +86,14 @@ def parse_payload(df: DataFrame, value: str = "value") -> DataFrame:
     known = at("customer.known_merchants")
     rules = [
         ("json", F.col("__p").isNotNull()),
-        ("id", at("id").isNotNull() & raw.rlike(QUOTED_ID)),
+        ("id", at("id").isNotNull() & quoted_id(raw, at("id"))),
         ("amount", number(at("transaction.amount"))),
         ("installments", number(at("transaction.installments")) & (at("transaction.installments") >= 0)),
         ("requested_at", now.isNotNull()),
         ("customer.avg_amount", number(at("customer.avg_amount"))),
         ("tx_count_24h", number(at("customer.tx_count_24h")) & (at("customer.tx_count_24h") >= 0)),
         ("known_merchants", known.isNotNull() & (F.size(known) <= MAX_MERCHANTS)),
-        ("merchant.id", at("merchant.id").isNotNull() & raw.rlike(QUOTED_MERCHANT)),
+        ("merchant.id", at("merchant.id").isNotNull() & quoted_id(raw, at("merchant.id"))),
         ("mcc", mcc.isNotNull()),
         ("merchant.avg_amount", number(at("merchant.avg_amount"))),
         ("is_online", at("terminal.is_online").isNotNull()),

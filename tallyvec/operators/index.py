@@ -1,9 +1,12 @@
-"""The inverted index: lists by cell, their statistics, metadata; saving, loading, validation."""
+"""The inverted index: lists by cell, their statistics, metadata; saving, loading, validation.
+
+A saved index is a folder of versions and a file ``CURRENT`` that names the one in force.
+"""
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from ..functions.expr import lane_names
 from ..plans.config import EngineConfig
 from . import train
 
-MAGIC, VERSION = "TVIX", 1
+MAGIC, VERSION, CURRENT = "TVIX", 1, "CURRENT"
 
 
 @dataclass
@@ -22,6 +25,13 @@ class Index:
     lists: DataFrame  # cell, ref_id, q0..., label
     stats: DataFrame  # cell, list_size, blocks, block_offset
     meta: DataFrame  # one row
+    _cells: list = field(default_factory=list, repr=False)
+
+    def cells(self) -> train.Cells:
+        """The centroids on the driver, read once."""
+        if not self._cells:
+            self._cells.append(train.Cells.of(self.centroids, self.config.dims))
+        return self._cells[0]
 
 
 def list_sizes(assigned: DataFrame, k: int) -> DataFrame:
@@ -77,24 +87,48 @@ def from_assigned(assigned: DataFrame, centroids: DataFrame, config: EngineConfi
 
 
 def save(index: Index, path: str) -> None:
-    """Write beside the target and rename: readers see a whole index or none."""
-    spark, tmp = index.lists.sparkSession, f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
-    index.lists.repartition("cell").sortWithinPartitions("cell", "ref_id").write.partitionBy("cell").parquet(f"{tmp}/lists")
+    """Write a new version and then switch to it in one rename: readers see a whole index, the old or the new one.
+
+    The version before stays for those who still read it; older ones and what broken runs left are deleted.
+    """
+    spark, path = index.lists.sparkSession, path.rstrip("/")
+    jvm, conf, version = spark._jvm, spark._jsc.hadoopConfiguration(), f"v-{uuid.uuid4().hex}"
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    old = _current(spark, path)
+    index.lists.repartition("cell").sortWithinPartitions("cell", "ref_id").write.partitionBy("cell").parquet(f"{path}/{version}/lists")
     for name in ("centroids", "stats", "meta"):
-        getattr(index, name).coalesce(1).write.parquet(f"{tmp}/{name}")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"can't publish {path}")
+        getattr(index, name).coalesce(1).write.parquet(f"{path}/{version}/{name}")
+    fresh = jvm.org.apache.hadoop.fs.Path(root, f"CURRENT-{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(root).toUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(root, CURRENT)), options)
+    for status in fs.listStatus(root):
+        if status.getPath().getName() not in (version, old, CURRENT):
+            fs.delete(status.getPath(), True)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """Name of the version in force."""
+    jvm = spark._jvm
+    pointer = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(path), CURRENT)
+    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(pointer):
+        return None
+    source = fs.open(pointer)
+    name = jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    source.close()
+    return name.strip()
 
 
 def resolve(spark: SparkSession, path: str, fallback: str = "resources") -> str:
-    """path, or only if it isn't there the same name below the fallback folder."""
+    """path, or only if it isn't there the same name below the fallback folder (of an absolute path: the fallback itself)."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    other = f"{fallback}/{path}"
+    other = fallback if "://" in path or path.startswith("/") else f"{fallback}/{path}"
     for p in (path, other):
         h = jvm.org.apache.hadoop.fs.Path(p)
         if h.getFileSystem(conf).exists(h):
@@ -104,6 +138,10 @@ def resolve(spark: SparkSession, path: str, fallback: str = "resources") -> str:
 
 def load(spark: SparkSession, path: str, config: EngineConfig | None = None) -> Index:
     path = resolve(spark, path)
+    version = _current(spark, path)
+    if version is None:
+        raise ValueError(f"{path} names no version")
+    path = f"{path.rstrip('/')}/{version}"
     meta = spark.read.parquet(f"{path}/meta")
     m = meta.first()
     base = config or EngineConfig(k=m["k"], sample=max(m["k"], EngineConfig.sample))

@@ -1,22 +1,62 @@
 """Search: probe cells, candidate distances, the nearest five, fraud counts, the second pass.
 
-Queries are tables with qid and lanes q0...; they may be many, and are never broadcast.
+Queries are tables with qid and lanes q0...; they may be many, and are never broadcast.  Queries and
+stored rows of a cell meet in groups of bounded size: a cell with more than GROUP_ROWS rows on a side
+is dealt into several groups by hashes of the ids, and each group gives the nearest few of its rows
+only, so that no pair of a query and a row becomes a row of a table.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import lane_names, sq_dist_f32, sq_dist_int
-from .train import centroid_distances
+from .staging import staged
+from .train import STEP_CELLS, Cells, lane_matrix
 
+#: Rows of one side of a group, about.
+GROUP_ROWS = 1 << 16
+#: Stored rows that slots are filled with between two looks at the slots.
+SLOT_STEP = 512
 
-def probes(queries: DataFrame, centroids: DataFrame, dims: int, nprobe: int) -> DataFrame:
+
+def probes(queries: DataFrame, centroids: DataFrame | Cells, dims: int, nprobe: int) -> DataFrame:
     """qid, lanes, cell, probe (from 1): the nearest cells; of equals the lowest; empty cells count."""
-    near = Window.partitionBy("qid").orderBy("d", "cell")
-    scored = centroid_distances(queries, centroids, dims).select("qid", *lane_names(dims), "cell", "d")
-    return scored.withColumn("probe", F.row_number().over(near)).filter(F.col("probe") <= nprobe).drop("d")
+    cells, names = Cells.of(centroids, dims), lane_names(dims)
+    n = min(nprobe, len(cells.cell))
+    source = queries.select("qid", *names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", cell int, probe int"
+
+    def run(batches):
+        for b in batches:
+            at, _ = cells.nearest(lane_matrix(b, names), n)
+            whole = b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+            more = [pa.array(cells.cell[at].ravel().astype(np.int32)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), b.num_rows))]
+            yield pa.RecordBatch.from_arrays([*whole.columns, *more], names=["qid", *names, "cell", "probe"])
+
+    return source.mapInArrow(run, schema)
+
+
+def cell_sizes(rows: DataFrame) -> DataFrame:
+    """cell, groups into which its rows are dealt; a row a cell, so 4096 at most."""
+    return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias("groups"))
+
+
+def dealt(rows: DataFrame, key: str, own: str, other: str, sizes: DataFrame, others: DataFrame) -> DataFrame:
+    """rows with the group that the hash of their key gives (own) and every group of the other side (other)."""
+    mine = F.broadcast(sizes.withColumnRenamed("groups", "__own"))
+    theirs = F.broadcast(others.withColumnRenamed("groups", "__other"))
+    each = F.explode(F.sequence(F.lit(0), F.col("__other") - 1)).alias(other)
+    return rows.join(mine, "cell").join(theirs, "cell").select(*rows.columns, F.pmod(F.xxhash64(key), F.col("__own")).cast("int").alias(own), each)
+
+
+def _stored(lists: DataFrame, dims: int) -> DataFrame:
+    return lists.select("cell", "ref_id", "label", *[F.col(n).alias(m) for n, m in zip(lane_names(dims), lane_names(dims, "r"), strict=True)])
 
 
 def _distance(dims: int, metric: str) -> Column:
@@ -25,17 +65,90 @@ def _distance(dims: int, metric: str) -> Column:
 
 
 def candidates(probed: DataFrame, lists: DataFrame, dims: int, metric: str = "int", leave_out_self: bool = False) -> DataFrame:
-    """qid, probe, ref_id, label, d for every row of the probed cells."""
-    stored = lists.select("cell", "ref_id", "label", *[F.col(n).alias(m) for n, m in zip(lane_names(dims), lane_names(dims, "r"), strict=True)])
-    pairs = probed.join(stored, "cell")
+    """qid, probe, ref_id, label, d for every row of the probed cells, a row a pair; large cells are dealt to several tasks."""
+    sizes = cell_sizes(lists)
+    one = sizes.select("cell", F.lit(1).alias("groups"))
+    pairs = dealt(probed, "qid", "__none", "__part", one, sizes).join(dealt(_stored(lists, dims), "ref_id", "__part", "__none", sizes, one), ["cell", "__part"])
     if leave_out_self:
         pairs = pairs.filter(F.col("qid") != F.col("ref_id"))
     return pairs.select("qid", "probe", "ref_id", "label", _distance(dims, metric).alias("d"))
 
 
-def brute_force(queries: DataFrame, refs: DataFrame, dims: int, metric: str = "int", leave_out_self: bool = False) -> DataFrame:
-    """Candidates without an index: every reference row for every query."""
-    return candidates(queries.withColumns({"cell": F.lit(0), "probe": F.lit(1)}), refs.withColumn("cell", F.lit(0)), dims, metric, leave_out_self)
+def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of lanes as whole numbers that sort like them: exact squares, or the bits of single-precision sums in lane order."""
+    if metric == "int":
+        return ((q**2).sum(1)[:, None] + (r**2).sum(1) - 2 * (q @ r.T)).astype(np.int64)
+    scale, total = np.float32(0.0001), np.zeros((len(q), len(r)), np.float32)
+    for j in range(q.shape[1]):
+        step = (q[:, j].astype(np.float32) * scale)[:, None] - r[:, j].astype(np.float32) * scale
+        total += step * step
+    return total.view(np.int32).astype(np.int64)
+
+
+def _of_group(dims: int, n: int, metric: str, leave_out_self: bool, ties: str, schema: pa.Schema):
+    """Function of the queries and the stored rows of one group."""
+    none = np.iinfo(np.int64).max
+
+    def smallest(d: np.ndarray) -> np.ndarray:
+        """The n smallest of each row, the earlier of equals: a mask."""
+        if d.shape[1] <= n:
+            return d < none
+        last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+        less, same = d < last, d == last
+        return (less | (same & (np.cumsum(same, 1) <= n - less.sum(1, keepdims=True)))) & (d < none)
+
+    def may_enter(d: np.ndarray) -> np.ndarray:
+        """A mask of rows that have fewer than n nearer or equal ones among the earlier, and of some more."""
+        best, out = np.full((len(d), n), none), np.zeros(d.shape, bool)
+        for a in range(0, d.shape[1], SLOT_STEP):
+            part = d[:, a : a + SLOT_STEP]
+            out[:, a : a + SLOT_STEP] = part < best.max(1, keepdims=True)
+            best = np.partition(np.concatenate([best, part], 1), n - 1, axis=1)[:, :n]
+        return out
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        if not asked.num_rows or not stored.num_rows:
+            return schema.empty_table()
+        stored = stored.sort_by("ref_id")
+        ids, label = stored.column("ref_id").to_numpy(), stored.column("label").to_numpy()
+        qid, probe = asked.column("qid").to_numpy(), asked.column("probe").to_numpy()
+        q, r = lane_matrix(asked, lane_names(dims)), lane_matrix(stored, lane_names(dims, "r"))
+        step, parts = max(1, STEP_CELLS // len(ids)), []
+        for i in range(0, len(qid), step):
+            d = _distances(q[i : i + step], r, metric)
+            if leave_out_self:
+                lo, hi = np.searchsorted(ids, qid[i : i + step]), np.searchsorted(ids, qid[i : i + step], "right")
+                for k in np.flatnonzero(hi > lo):
+                    d[k, lo[k] : hi[k]] = none
+            x, y = np.nonzero(smallest(d) if ties == "stable" else may_enter(d))
+            parts.append((qid[i + x], probe[i + x], ids[y], label[y], d[x, y]))
+        found = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        if metric != "int":
+            found[4] = found[4].astype(np.int32).view(np.float32)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def nearest_by_cell(probed: DataFrame, lists: DataFrame, dims: int, n: int = 5, metric: str = "int", leave_out_self: bool = False, ties: str = "stable") -> DataFrame:
+    """qid, probe, ref_id, label, d: of each probed cell's groups those rows that can be among a query's n nearest.
+
+    probed and lists are read twice, to count and to search: give tables that are written.  With ties
+    "slot" all rows are kept that can enter a slot on a scan in the order of ids.
+    """
+    sizes, asked = cell_sizes(lists), cell_sizes(probed)
+    keys = ["cell", "__q", "__r"]
+    left = dealt(probed, "qid", "__q", "__r", asked, sizes).groupBy(*keys)
+    right = dealt(_stored(lists, dims), "ref_id", "__r", "__q", sizes, asked).groupBy(*keys)
+    kind = {n: t[n].dataType for t, n in ((probed.schema, "qid"), (lists.schema, "ref_id"), (lists.schema, "label"))}
+    kind = {"qid": kind["qid"], "probe": T.IntegerType(), "ref_id": kind["ref_id"], "label": kind["label"], "d": T.LongType() if metric == "int" else T.FloatType()}
+    schema, shape = T.StructType([T.StructField(n, t) for n, t in kind.items()]), pa.schema([(n, to_arrow_type(t)) for n, t in kind.items()])
+    return left.cogroup(right).applyInArrow(_of_group(dims, n, metric, leave_out_self, ties, shape), schema)
+
+
+def brute_force(queries: DataFrame, refs: DataFrame, dims: int, n: int = 5, metric: str = "int", leave_out_self: bool = False, ties: str = "stable") -> DataFrame:
+    """What nearest_by_cell gives without an index, where all rows are one cell; each pair is looked at, in groups."""
+    return nearest_by_cell(queries.withColumns({"cell": F.lit(0), "probe": F.lit(1)}), refs.withColumn("cell", F.lit(0)), dims, n, metric, leave_out_self, ties)
 
 
 def nearest(found: DataFrame, n: int = 5) -> DataFrame:
@@ -44,13 +157,8 @@ def nearest(found: DataFrame, n: int = 5) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def slot_fold(found: DataFrame, n: int = 5) -> DataFrame:
-    """qid, fraud_count as n slots give it that are filled in scan order.
-
-    A candidate replaces the first of the slots with the largest distance, if it is nearer.  The
-    result depends on the scan order: probe, then ref_id.  A query's candidates are gathered.
-    """
-    scan = F.sort_array(F.collect_list(F.struct("probe", "ref_id", F.col("d").cast("double").alias("d"), F.col("label").cast("int").alias("label"))))
+def _slots(scan: Column, n: int) -> Column:
+    """Labels that n slots hold after a scan: a row replaces the first of the slots with the largest distance, if it is nearer."""
     empty = F.array_repeat(F.struct(F.lit(1e30).alias("d"), F.lit(0).alias("label")), n)
 
     def step(slots: Column, x: Column) -> Column:
@@ -59,7 +167,19 @@ def slot_fold(found: DataFrame, n: int = 5) -> DataFrame:
         new = F.struct(x["d"].alias("d"), x["label"].alias("label"))
         return F.when(x["d"] < worst, F.transform(slots, lambda s, i: F.when(i + 1 == at, new).otherwise(s))).otherwise(slots)
 
-    return found.groupBy("qid").agg(scan.alias("scan")).select("qid", F.aggregate(F.aggregate("scan", empty, step), F.lit(0), lambda a, s: a + s["label"]).cast("bigint").alias("fraud_count"))
+    return F.aggregate(F.aggregate(scan, empty, step), F.lit(0), lambda a, s: a + s["label"]).cast("bigint")
+
+
+def slot_fold(found: DataFrame, n: int = 5) -> DataFrame:
+    """qid, fraud_count as n slots give it that are filled in scan order: probe, then ref_id.
+
+    Of found, every row is gathered: give what nearest_by_cell leaves with ties "slot".
+    """
+    return found.groupBy("qid").agg(_scan().alias("scan")).select("qid", _slots(F.col("scan"), n).alias("fraud_count"))
+
+
+def _scan() -> Column:
+    return F.sort_array(F.collect_list(F.struct("probe", "ref_id", F.col("d").cast("double").alias("d"), F.col("label").cast("int").alias("label"))))
 
 
 def fraud_counts(queries: DataFrame, found: DataFrame, n: int = 5, ties: str = "stable") -> DataFrame:
@@ -69,15 +189,24 @@ def fraud_counts(queries: DataFrame, found: DataFrame, n: int = 5, ties: str = "
 
 
 def two_pass(queries: DataFrame, index, leave_out_self: bool = False) -> DataFrame:
-    """qid, fast_count, fraud_count: counts inside the band are searched again with more probes.
+    """qid, fast_count, fraud_count: counts inside the band are those of more probes.
 
-    Probes are ranked once; both passes share the join, the second keeps only queries in the band.
+    Probes are ranked and written once, with the queries' lanes; one search of the wider probes gives
+    both counts, because a row of the fast pass is known by its probe.
     """
     c = index.config
-    ranked = probes(queries, index.centroids, c.dims, c.nprobe_full)
-    fast_rows = candidates(ranked.filter(F.col("probe") <= c.nprobe_fast), index.lists, c.dims, c.metric, leave_out_self)
-    fast = fraud_counts(queries, fast_rows, c.neighbors, c.ties).withColumnRenamed("fraud_count", "fast_count")
-    again = fast.filter(F.col("fast_count").isin(*c.band)).select("qid")
-    full_rows = candidates(ranked.join(again, "qid"), index.lists, c.dims, c.metric, leave_out_self)
-    full = fraud_counts(again, full_rows, c.neighbors, c.ties).withColumnRenamed("fraud_count", "full_count")
-    return fast.join(full, "qid", "left").select("qid", "fast_count", F.coalesce("full_count", "fast_count").alias("fraud_count"))
+    probed = staged(probes(queries, index.cells(), c.dims, c.nprobe_full))
+    found = nearest_by_cell(probed, index.lists, c.dims, c.neighbors, c.metric, leave_out_self, c.ties)
+    quick = F.col("probe") <= c.nprobe_fast
+    if c.ties == "slot":
+        scans = found.groupBy("qid").agg(_scan().alias("scan"))
+        counts = scans.select("qid", _slots(F.filter("scan", lambda x: x["probe"] <= c.nprobe_fast), c.neighbors).alias("fast_count"), _slots(F.col("scan"), c.neighbors).alias("full_count"))
+    else:  # the nearest of all are among the nearest of the fast probes and of the rest
+        order = Window.partitionBy("qid", quick).orderBy("d", "ref_id")
+        few = found.repartition("qid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= c.neighbors)
+        ranked = F.slice(F.sort_array(F.collect_list(F.struct("d", "ref_id", F.col("label").cast("bigint").alias("label")))), 1, c.neighbors)
+        both = few.groupBy("qid").agg(F.sum(F.when(quick, F.col("label"))).cast("bigint").alias("fast_count"), ranked.alias("near"))
+        counts = both.select("qid", "fast_count", F.aggregate("near", F.lit(0).cast("bigint"), lambda a, x: a + x["label"]).alias("full_count"))
+    asked = probed.filter("probe = 1").select("qid")
+    whole = asked.join(counts, "qid", "left").select("qid", *[F.coalesce(x, F.lit(0)).cast("bigint").alias(x) for x in ("fast_count", "full_count")])
+    return whole.select("qid", "fast_count", F.when(F.col("fast_count").isin(*c.band), F.col("full_count")).otherwise(F.col("fast_count")).alias("fraud_count"))

@@ -1,18 +1,68 @@
 """Training: sample, seeds, Lloyd rounds on integer lanes, assignment.
 
 Distances and sums are integers, so results don't depend on how rows are dealt.  Centroids, 4096 at
-most, are the side that is broadcast.
+most, go along with the task: nearest cells are found inside each Arrow batch by a blocked matrix
+product, so that no row moves.  Products and sums of lanes stay below 2**53 and are exact in doubles.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import half_away, lane_names, sq_dist_int
+from .staging import staged
 
 MAX_K = 4096
+#: Distances that one step holds.
+STEP_CELLS = 1 << 21
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centroids on the driver (MAX_K rows at most), in the order of their cells."""
+
+    cell: np.ndarray
+    lanes: np.ndarray
+
+    @classmethod
+    def of(cls, centroids: DataFrame | Cells, dims: int) -> Cells:
+        if isinstance(centroids, Cells):
+            return centroids
+        found = centroids.select("cell", *lane_names(dims, "c")).toPandas().sort_values("cell")
+        if len(found) > MAX_K + 1:
+            raise ValueError(f"more than {MAX_K} centroids")
+        return cls(found["cell"].to_numpy(np.int64), found[lane_names(dims, "c")].to_numpy(np.float64))
+
+    def nearest(self, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, distances) of the n nearest cells of each row, nearest first, the lower cell of equals."""
+        n, k = min(n, len(self.cell)), len(self.cell)
+        places, found = np.empty((len(rows), n), np.int64), np.empty((len(rows), n), np.int64)
+        own = (self.lanes**2).sum(1)
+        step = max(1, STEP_CELLS // max(1, k))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            d = ((part**2).sum(1)[:, None] + own - 2 * (part @ self.lanes.T)).astype(np.int64)
+            if n == 1:
+                at = d.argmin(1)[:, None]
+            else:
+                last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                d2 = np.where(d <= last, d, np.iinfo(np.int64).max)  # of the rest no one is among the nearest
+                at = d2.argsort(1, kind="stable")[:, :n]
+            places[i : i + step], found[i : i + step] = at, np.take_along_axis(d, at, 1)
+        return places, found
+
+
+def lane_matrix(batch, names: list[str]) -> np.ndarray:
+    """Lanes of a batch or table as doubles, a row a row."""
+    out = np.empty((batch.num_rows, len(names)), np.float64)
+    for j, name in enumerate(names):
+        out[:, j] = batch.column(name).to_numpy()
+    return out
 
 
 def check_arguments(n: int, k: int, sample: int) -> None:
@@ -60,10 +110,23 @@ def centroid_distances(rows: DataFrame, centroids: DataFrame, dims: int) -> Data
     return rows.crossJoin(F.broadcast(centroids)).withColumn("d", sq_dist_int(q, c))
 
 
-def assign(rows: DataFrame, centroids: DataFrame, dims: int, key: str = "ref_id") -> DataFrame:
-    """rows with the nearest cell; the lowest cell of equals."""
-    best = centroid_distances(rows.select(key, *lane_names(dims)), centroids, dims).groupBy(key).agg(F.min(F.struct("d", "cell")).alias("b"))
-    return rows.join(best.select(key, F.col("b.cell").alias("cell"), F.col("b.d").alias("cell_distance")), key)
+def assign(rows: DataFrame, centroids: DataFrame | Cells, dims: int, before: Cells | None = None) -> DataFrame:
+    """rows with the nearest cell and its distance; with cells from before, moved says whether the cell is another one."""
+    cells, names = Cells.of(centroids, dims), lane_names(dims)
+    kept = [c for c in rows.columns if c not in ("cell", "cell_distance", "moved")]
+    source = rows.select(*kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", cell int, cell_distance bigint" + (", moved boolean" if before else "")
+
+    def run(batches):
+        for b in batches:
+            lanes = lane_matrix(b, names)
+            at, d = cells.nearest(lanes, 1)
+            more = [pa.array(cells.cell[at[:, 0]].astype(np.int32)), pa.array(d[:, 0])]
+            if before:
+                more.append(pa.array(before.cell[before.nearest(lanes, 1)[0][:, 0]] != cells.cell[at[:, 0]]))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*kept, "cell", "cell_distance", "moved"][: len(kept) + len(more)])
+
+    return source.mapInArrow(run, schema)
 
 
 def update(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
@@ -79,21 +142,33 @@ def changed_count(before: DataFrame, after: DataFrame, key: str = "ref_id") -> D
     return after.join(old, key, "left").agg(F.sum((~F.col("cell").eqNullSafe(F.col("old"))).cast("bigint")).alias("changed"))
 
 
+def mean_lane(total: int, n: int) -> int:
+    """total / n rounded half away from zero."""
+    return (1 if total >= 0 else -1) * ((2 * abs(total) + n) // (2 * n))
+
+
 def lloyd(sample: DataFrame, centroids: DataFrame, dims: int, iterations: int) -> DataFrame:
     """Rounds of assign and update, until fewer than a thousandth of the rows change cells.
 
-    Centroids (MAX_K rows at most) are made into a local table after each round, which cuts the plan.
+    The sample (bounded by its parameter) is written once; a round is one pass over it that sums up
+    each cell and counts the rows which the last round's centroids had put elsewhere.  Sums of MAX_K
+    cells at most come to the driver.
     """
-    spark, size, before = sample.sparkSession, sample.count(), None
+    spark, names, schema = sample.sparkSession, lane_names(dims), centroids.schema
+    sample = staged(sample.select("ref_id", *names))
+    size, before, cells = sample.count(), None, Cells.of(centroids, dims)
     for _ in range(iterations):
-        now = assign(sample, centroids, dims)
-        rows = update(now, centroids, dims).collect()
-        stop = before is not None and (changed_count(before, now).first()["changed"] or 0) * 1000 < size
-        before = assign(sample, centroids, dims).select("ref_id", "cell")
-        centroids = spark.createDataFrame(rows, centroids.schema)
-        if stop:
+        now = assign(sample, cells, dims, before)
+        moved = F.sum(F.col("moved").cast("bigint")) if before else F.count(F.lit(1))
+        sums = now.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), moved.alias("moved"), *[F.sum(c).alias(c) for c in names]).collect()
+        place = {int(c): i for i, c in enumerate(cells.cell)}
+        lanes = cells.lanes.copy()  # an empty cell keeps its centroid
+        for r in sums:
+            lanes[place[r["cell"]]] = [mean_lane(r[c], r["n"]) for c in names]
+        before, cells = cells, Cells(cells.cell, lanes)
+        if sum(r["moved"] for r in sums) * 1000 < size:
             break
-    return centroids
+    return spark.createDataFrame([(int(c), *map(int, v)) for c, v in zip(cells.cell, cells.lanes, strict=True)], schema)
 
 
 def mllib_centroids(refs: DataFrame, k: int, dims: int, iterations: int, seed: int) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -32,3 +35,13 @@ class EngineConfig:
             raise ValueError("the sample must hold k vectors at least")
         if self.ties not in ("stable", "slot") or self.metric not in ("int", "f32"):
             raise ValueError("ties is stable or slot, metric is int or f32")
+
+    @classmethod
+    def from_env(cls, environ: Mapping[str, str] | None = None, **fields) -> EngineConfig:
+        """fields with what the environment says: WARMUP_ROUNDS, a number of 0 or more, rounded down; any other text is passed over."""
+        config, text = cls(**fields), (os.environ if environ is None else environ).get("WARMUP_ROUNDS", "")
+        try:
+            rounds = float(text)
+        except ValueError:
+            return config
+        return replace(config, warmup_rounds=math.floor(rounds)) if math.isfinite(rounds) and rounds >= 0 else config

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +12,30 @@ from ..operators import decide, index, search
 from ..operators.features import vectorize
 
 
+#: Payloads that warm-up alternates: a plain purchase and one without a history.
+WARM_UP = [
+    '{"id":"warm-a","transaction":{"amount":12.5,"installments":1,"requested_at":"2025-01-06T09:00:00Z"},"customer":{"avg_amount":20.0,"tx_count_24h":2,"known_merchants":["shop"]},"merchant":{"id":"shop","mcc":"5411","avg_amount":15.0},"terminal":{"is_online":false,"card_present":true,"km_from_home":1.0},"last_transaction":{"timestamp":"2025-01-06T08:00:00Z","km_from_current":0.5}}',
+    '{"id":"warm-b","transaction":{"amount":4000.0,"installments":10,"requested_at":"2025-01-07T02:30:00Z"},"customer":{"avg_amount":0.0,"tx_count_24h":0,"known_merchants":[]},"merchant":{"id":"other","mcc":"7995","avg_amount":900.0},"terminal":{"is_online":true,"card_present":false,"km_from_home":700.0},"last_transaction":null}',
+]
+
+
 class Engine:
-    """Holds an index; without one every payload is approved and ready() is false."""
+    """Holds an index; without one every payload is approved and ready() is false.
 
-    def __init__(self, found: index.Index | None = None):
-        self.index = found
+    A held index keeps its lists and statistics in the executors' memory and disk, and its centroids on
+    the driver, between calls and micro-batches; blocks that are lost are read from the files again.
+    """
+
+    def __init__(self, found: index.Index | None = None, hold: bool = False):
+        self.index, self.held = found, []
+        if found is not None and hold:
+            self.held = [found.lists.persist(StorageLevel.MEMORY_AND_DISK), found.stats.persist(StorageLevel.MEMORY_AND_DISK)]
+            found.cells()
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, config=None) -> Engine:
+    def load(cls, spark: SparkSession, path: str, config=None, hold: bool = True) -> Engine:
         try:
-            return cls(index.load(spark, path, config))
+            return cls(index.load(spark, path, config), hold)
         except (FileNotFoundError, ValueError):
             return cls(None)
 
@@ -28,7 +43,9 @@ class Engine:
         return self.index is not None
 
     def close(self) -> None:
-        self.index = None
+        for held in self.held:
+            held.unpersist()
+        self.index, self.held = None, []
 
     def __enter__(self) -> Engine:
         return self
@@ -36,19 +53,27 @@ class Engine:
     def __exit__(self, *_) -> None:
         self.close()
 
-    def warm_up(self) -> None:
-        if self.ready():
-            self.index.lists.count()
+    def warm_up(self, spark: SparkSession) -> int:
+        """Score warmup_rounds payloads, two by turns, as one table; the number that was scored."""
+        if not self.ready() or not self.index.config.warmup_rounds:
+            return 0
+        turns = F.element_at(F.array(*map(F.lit, WARM_UP)), (F.col("id") % len(WARM_UP) + 1).cast("int"))
+        rows = spark.range(self.index.config.warmup_rounds).withColumn("value", turns)
+        return self.score(rows, "id").filter("status = 'ok'").count()
+
+    def score(self, payloads: DataFrame, key: str, value: str = "value", leave_out_self: bool = False) -> DataFrame:
+        """key, status, fraud_count, fraud_score, approved, body for every row (key must be unique).
 
-    def score(self, payloads: DataFrame, key: str, value: str = "value") -> DataFrame:
-        """key, status, fraud_count, fraud_score, approved, body for every row (key must be unique)."""
+        leave_out_self: the keys are those of the reference rows, and a row isn't its own neighbour.
+        """
+        asked = payloads.select(F.col(key).alias("__key"), F.col(value).alias("value"))  # the payload has an id of its own
         if not self.ready():
-            rows = payloads.select(F.col(key), F.lit("not_ready").alias("status"), F.lit(0).cast("bigint").alias("fraud_count"))
+            rows = asked.select(F.col("__key").alias(key), F.lit("not_ready").alias("status"), F.lit(0).cast("bigint").alias("fraud_count"))
             return decide.decide(rows)
         c = self.index.config
-        rows = vectorize(parse_payload(payloads.select(key, value), value))
-        asked = rows.filter("is_valid").select(F.col(key).alias("qid"), *lane_names(c.dims))
-        counts = search.two_pass(asked, self.index).select(F.col("qid").alias(key), "fraud_count")
+        rows = vectorize(parse_payload(asked))
+        valid = rows.filter("is_valid").select(F.col("__key").alias("qid"), *lane_names(c.dims))
+        counts = search.two_pass(valid, self.index, leave_out_self).select(F.col("qid").alias("__key"), "fraud_count")
         status = F.when(F.col("is_valid"), "ok").otherwise("parse_error").alias("status")
-        out = rows.select(key, status).join(counts, key, "left").select(key, "status", F.coalesce("fraud_count", F.lit(0)).alias("fraud_count"))
+        out = rows.select("__key", status).join(counts, "__key", "left").select(F.col("__key").alias(key), "status", F.coalesce("fraud_count", F.lit(0)).alias("fraud_count"))
         return decide.decide(out, c.threshold)

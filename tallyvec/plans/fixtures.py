@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyvec-")
-    return f"{base.rstrip('/')}/tallyvec/{uuid.uuid4().hex}"
-
-
 def embedding_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ref_id, q0 to q63, label (1 for classes below five)."""
     return from_table(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("label") < 5, DIMS)

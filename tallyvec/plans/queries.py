@@ -1,8 +1,7 @@
 """Queries of the engine and their SQL for DuckDB.
 
 Searches over embeddings take every vector as a query against all others; payload searches take the
-events whose id is divisible by 20 as queries and all other events as the reference set
-(score_against_all_events: every event but the query's own).
+events whose id is divisible by 20 as queries and every event but the query's own as the reference set.
 """
 
 from __future__ import annotations
@@ -13,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import payload as P
 from ..functions.expr import OTHER_RISK, lane_names, mcc_risk
 from ..operators import decide, features, index, search, train
-from ..sources.references import label_counts
+from ..operators.staging import staged, work_dir
+from ..sources.references import label_counts, read_references
 from ..streaming.score import score_stream
 from .config import EngineConfig
 from .engine import Engine
-from .fixtures import DIMS, EMB, EV, K, embedding_refs, event_payloads, read, work_dir
+from .fixtures import DIMS, EMB, EV, K, embedding_refs, event_payloads, read
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,8 +76,6 @@ def _count(queries: str, lists: str, dims: int, nprobe: int, name: str, own: boo
 
 
 EMB_INDEX = f"WITH {EMB}, {_seeds('e', DIMS)}, {_assigned('e', DIMS)}"
-EV_INDEX = f"WITH {EV}, q AS (SELECT event_id AS ref_id, {_names('q', 14)} FROM f WHERE event_id % 20 = 0), r0 AS (SELECT event_id AS ref_id, label, {_names('q', 14)} FROM f WHERE event_id % 20 <> 0), {_seeds('r0', 14)}, {_assigned('r0', 14)}"
-EV_TWO = f"{EV_INDEX}, {_probes('q', 14, 4)}, {_count('q', 'a', 14, 2, 'fast', False)}, {_count('q', 'a', 14, 4, 'full_', False)}, two AS (SELECT qid, fast.fraud_count AS fast_count, CASE WHEN fast.fraud_count IN (2, 3) THEN full_.fraud_count ELSE fast.fraud_count END AS fraud_count FROM fast JOIN full_ USING (qid))"
 #: Every event is a reference; a query leaves out its own row only.
 EV_ALL = f"WITH {EV}, q AS (SELECT event_id AS ref_id, {_names('q', 14)} FROM f WHERE event_id % 20 = 0), r0 AS (SELECT event_id AS ref_id, label, {_names('q', 14)} FROM f), {_seeds('r0', 14)}, {_assigned('r0', 14)}, {_probes('q', 14, 4)}, {_count('q', 'a', 14, 2, 'fast', True)}, {_count('q', 'a', 14, 4, 'full_', True)}, two AS (SELECT qid, fast.fraud_count AS fast_count, CASE WHEN fast.fraud_count IN (2, 3) THEN full_.fraud_count ELSE fast.fraud_count END AS fraud_count FROM fast JOIN full_ USING (qid))"
 DECISION = "fraud_count / 5.0::DOUBLE AS fraud_score, fraud_count < 3 AS approved"
@@ -86,12 +84,6 @@ DECISION = "fraud_count / 5.0::DOUBLE AS fraud_score, fraud_count < 3 AS approve
 # --- fixtures
 
 
-def written(df: DataFrame) -> DataFrame:
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def small(centroids: DataFrame) -> DataFrame:
     """A local table of a bounded one (K rows)."""
     return centroids.sparkSession.createDataFrame(centroids.collect(), centroids.schema)
@@ -111,15 +103,14 @@ def ev_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.vectorize(P.parse_payload(event_payloads(spark, sf_dir)))
 
 
-def ev_index(spark: SparkSession, sf_dir: str, every: bool = False):
-    """Queries and the index of the other events, or of every event."""
+def ev_index(spark: SparkSession, sf_dir: str):
+    """Queries and the index of every event."""
     rows = ev_rows(spark, sf_dir)
-    refs = (rows if every else rows.filter("event_id % 20 <> 0")).select(F.col("event_id").alias("ref_id"), *lane_names(14), "label")
     # the reference set and its cells are written once: training and search read them several times
-    refs = written(refs)
+    refs = staged(rows.select(F.col("event_id").alias("ref_id"), *lane_names(14), "label"))
     seeds = small(train.first_seeds(refs, K, 14))
-    built = index.from_assigned(written(train.assign(refs, seeds, 14)), seeds, EV_CONFIG)
-    return rows.filter("event_id % 20 = 0").select(F.col("event_id").alias("qid"), *lane_names(14)), built
+    built = index.from_assigned(staged(train.assign(refs, seeds, 14)), seeds, EV_CONFIG)
+    return refs.filter("ref_id % 20 = 0").select(F.col("ref_id").alias("qid"), *lane_names(14)), built
 
 
 # --- payloads and features
@@ -140,14 +131,18 @@ BROKEN = [
 _broken = ", ".join(f"({i})" for i in range(len(BROKEN)))
 
 
-@query(f"SELECT event_id, CAST(v AS INT) AS variant, 'parse_error' AS status, 0.0::DOUBLE AS fraud_score, TRUE AS approved FROM events, (VALUES {_broken}) t(v) WHERE NOT (v = 4 AND event_id % 15 = 0)")
+@query(f"{EV_ALL} SELECT event_id, CAST(v AS INT) AS variant, 'parse_error' AS status, 0.0::DOUBLE AS fraud_score, TRUE AS approved FROM events, (VALUES {_broken}) t(v) WHERE NOT (v = 4 AND event_id % 15 = 0) UNION ALL SELECT qid, -1, 'ok', {DECISION} FROM two")
 def payload_parse_invalid_fail_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken payloads of every event, and the whole ones of the queries (variant -1), through the engine."""
     rows = event_payloads(spark, sf_dir)
     kinds = F.array(*[F.struct(F.lit(i).alias("variant"), F.regexp_replace("value", pattern, text).alias("value")) for i, (_, pattern, text) in enumerate(BROKEN)])
-    rows = rows.select("event_id", F.explode(kinds).alias("b")).select("event_id", "b.variant", "b.value")
-    parsed = P.parse_payload(rows.filter("not (variant = 4 and event_id % 15 = 0)"))  # minus nought is nought
-    status = F.when(F.col("is_valid"), "ok").otherwise("parse_error").alias("status")
-    return decide.decide(parsed.withColumn("fraud_count", F.lit(0))).select("event_id", "variant", status, "fraud_score", "approved")
+    broken = rows.select("event_id", F.explode(kinds).alias("b")).select("event_id", "b.variant", "b.value").filter("not (variant = 4 and event_id % 15 = 0)")  # minus nought is nought
+    whole = rows.filter("event_id % 20 = 0").select("event_id", F.lit(-1).alias("variant"), "value")
+    # a broken payload's key is that of no reference
+    asked = broken.unionByName(whole).withColumn("key", F.when(F.col("variant") < 0, F.col("event_id")).otherwise(-(F.col("event_id") * len(BROKEN) + F.col("variant") + 1)))
+    scored = Engine(ev_index(spark, sf_dir)[1]).score(staged(asked.select("key", "value")), "key", leave_out_self=True)
+    whole_key = F.col("key") >= 0
+    return scored.select(F.when(whole_key, F.col("key")).otherwise(F.expr(f"(-key - 1) div {len(BROKEN)}")).alias("event_id"), F.when(whole_key, -1).otherwise((-F.col("key") - 1) % len(BROKEN)).cast("int").alias("variant"), "status", "fraud_score", "approved")
 
 
 @query("SELECT event_id, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts) - 1 AS INT) AS weekday FROM events")
@@ -288,7 +283,7 @@ def knn5_bruteforce(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_fraud_count_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, seeds, assigned = emb_index(spark, sf_dir)
     queries = emb_queries(refs)
-    found = search.candidates(search.probes(queries, seeds, DIMS, 2), assigned, DIMS, leave_out_self=True)
+    found = search.nearest_by_cell(search.probes(queries, seeds, DIMS, 2), assigned, DIMS, leave_out_self=True)
     return search.fraud_counts(queries, found)
 
 
@@ -301,12 +296,16 @@ def ivf_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.two_pass(emb_queries(refs), index.from_assigned(assigned, seeds, EMB_CONFIG), leave_out_self=True)
 
 
-@query(f"WITH {EMB}, {_seeds('e', DIMS)}, {_assigned('e', DIMS, 'b')}, a AS (SELECT * FROM b WHERE ref_id % 40 = 0), {_probes('e', DIMS, 1)}, {_count('e', 'a', DIMS, 1, 'fast', True)} SELECT * FROM fast")
+MANY_CELLS = 256
+
+
+@query(f"WITH {EMB}, {_seeds('e', DIMS).replace(f'LIMIT {K}', f'LIMIT {MANY_CELLS}')}, {_assigned('e', DIMS)}, {_probes('e', DIMS, 1)}, {_count('e', 'a', DIMS, 1, 'fast', True)} SELECT * FROM fast")
 def underfull_topk_counts_legit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists thinned to fewer than five rows: the missing neighbours count as legitimate."""
-    refs, seeds, assigned = emb_index(spark, sf_dir)
+    """So many cells that lists have fewer than five rows: the missing neighbours count as legitimate."""
+    refs = embedding_refs(spark, sf_dir)
+    seeds = small(train.first_seeds(refs, MANY_CELLS, DIMS))
     queries = emb_queries(refs)
-    found = search.candidates(search.probes(queries, seeds, DIMS, 1), assigned.filter("ref_id % 40 = 0"), DIMS, leave_out_self=True)
+    found = search.nearest_by_cell(search.probes(queries, seeds, DIMS, 1), train.assign(refs, seeds, DIMS), DIMS, leave_out_self=True)
     return search.fraud_counts(queries, found)
 
 
@@ -322,19 +321,19 @@ def trained_search(refs: DataFrame) -> DataFrame:
     """The nearest five that the fast pass finds in an index with the operator's own training."""
     built = index.build(refs, TRAINED_CONFIG)
     probed = search.probes(emb_queries(refs), built.centroids, DIMS, TRAINED_CONFIG.nprobe_fast)
-    return search.nearest(search.candidates(probed, built.lists, DIMS, leave_out_self=True))
+    return search.nearest(search.nearest_by_cell(staged(probed), staged(built.lists), DIMS, leave_out_self=True))
 
 
 @query()
 def trained_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample, k-means++ and Lloyd rounds, then every vector against all others; the sample's hash has no SQL form."""
-    return trained_search(written(embedding_refs(spark, sf_dir))).select(*big("qid", "ref_id", "d", "rank"))
+    return trained_search(staged(embedding_refs(spark, sf_dir))).select(*big("qid", "ref_id", "d", "rank"))
 
 
 @query()
 def trained_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True neighbours (the five of each query by brute force) and those among them that trained_index_search finds."""
-    refs = written(embedding_refs(spark, sf_dir))
+    refs = staged(embedding_refs(spark, sf_dir))
     exact = search.nearest(search.brute_force(emb_queries(refs), refs, DIMS, leave_out_self=True)).select("qid", "ref_id")
     found = trained_search(refs).select("qid", "ref_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["qid", "ref_id"], "left")
@@ -349,32 +348,47 @@ def decision_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.decide(spark.range(-1, 8).withColumnRenamed("id", "fraud_count")).select("fraud_count", "fraud_score", "approved")
 
 
-@query(f"{EV_TWO} SELECT qid, '{{\"approved\":' || CASE WHEN fraud_count < 3 THEN 'true' ELSE 'false' END || ',\"fraud_score\":' || ['0.0', '0.2', '0.4', '0.6', '0.8', '1'][CAST(fraud_count + 1 AS INT)] || '}}' AS body FROM two")
+@query(f"{EV_ALL} SELECT qid, '{{\"approved\":' || CASE WHEN fraud_count < 3 THEN 'true' ELSE 'false' END || ',\"fraud_score\":' || ['0.0', '0.2', '0.4', '0.6', '0.8', '1'][CAST(fraud_count + 1 AS INT)] || '}}' AS body FROM two")
 def response_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, built = ev_index(spark, sf_dir)
-    return decide.decide(search.two_pass(queries, built)).select("qid", "body")
+    return decide.decide(search.two_pass(queries, built, leave_out_self=True)).select("qid", "body")
 
 
-@query(f"{EV_TWO} SELECT qid AS event_id, 'ok' AS status, fraud_count, {DECISION} FROM two")
+@query(f"{EV_ALL} SELECT qid AS event_id, 'ok' AS status, fraud_count, {DECISION} FROM two")
 def score_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, built = ev_index(spark, sf_dir)
     asked = event_payloads(spark, sf_dir).filter("event_id % 20 = 0")
-    return Engine(built).score(asked, "event_id").select("event_id", "status", "fraud_count", "fraud_score", "approved")
+    return Engine(built).score(asked, "event_id", leave_out_self=True).select("event_id", "status", "fraud_count", "fraud_score", "approved")
 
 
 @query(f"{EV_ALL} SELECT qid AS event_id, fast_count, fraud_count, {DECISION} FROM two")
 def score_against_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by an index of every event, where a query leaves out its own row only."""
-    queries, built = ev_index(spark, sf_dir, every=True)
+    queries, built = ev_index(spark, sf_dir)
     return decide.decide(search.two_pass(queries, built, leave_out_self=True)).select(F.col("qid").alias("event_id"), "fast_count", "fraud_count", "fraud_score", "approved")
 
 
-@query()
+def _dist_f32(dims: int) -> str:
+    step = lambda i: f"(x.q{i}::FLOAT * 0.0001::FLOAT - r.q{i}::FLOAT * 0.0001::FLOAT)"
+    out = f"{step(0)} * {step(0)}"
+    for i in range(1, dims):
+        out = f"({out} + {step(i)} * {step(i)})"
+    return out
+
+
+SLOTS = f"""WITH RECURSIVE {EMB_INDEX.removeprefix('WITH ')}, {_probes('e', DIMS, 2)},
+k AS (SELECT qid, r.label, row_number() OVER (PARTITION BY qid ORDER BY probe, r.ref_id) AS i, CAST({_dist_f32(DIMS)} AS DOUBLE) AS d FROM p JOIN e x ON x.ref_id = p.qid JOIN a r ON r.cell = p.cell WHERE x.ref_id <> r.ref_id),
+s AS (SELECT ref_id AS qid, CAST(0 AS BIGINT) AS i, [1e30, 1e30, 1e30, 1e30, 1e30]::DOUBLE[] AS ds, [0, 0, 0, 0, 0]::INT[] AS ls FROM e
+UNION ALL SELECT s.qid, k.i, CASE WHEN k.d < list_max(ds) THEN ds[1:list_position(ds, list_max(ds)) - 1] || [k.d] || ds[list_position(ds, list_max(ds)) + 1:] ELSE ds END,
+CASE WHEN k.d < list_max(ds) THEN ls[1:list_position(ds, list_max(ds)) - 1] || [k.label] || ls[list_position(ds, list_max(ds)) + 1:] ELSE ls END FROM s JOIN k ON k.qid = s.qid AND k.i = s.i + 1)"""
+
+
+@query(f"{SLOTS} SELECT qid, CAST(list_sum(arg_max(ls, i)) AS BIGINT) AS fraud_count FROM s GROUP BY qid")
 def topk_slot_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts with slots filled in scan order; tests hold them against a plain loop."""
+    """Counts with slots filled in scan order, by distances in single precision."""
     refs, seeds, assigned = emb_index(spark, sf_dir)
     queries = emb_queries(refs)
-    found = search.candidates(search.probes(queries, seeds, DIMS, 2), assigned, DIMS, "f32", leave_out_self=True)
+    found = search.nearest_by_cell(search.probes(queries, seeds, DIMS, 2), assigned, DIMS, metric="f32", leave_out_self=True, ties="slot")
     return search.fraud_counts(queries, found, ties="slot")
 
 
@@ -385,22 +399,171 @@ def mllib_kmeans_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.two_pass(emb_queries(refs), index.from_assigned(train.assign(refs, centroids, DIMS), centroids, EMB_CONFIG), leave_out_self=True)
 
 
-@query(f"{EV_TWO} SELECT qid AS event_id, fraud_count, {DECISION} FROM two")
+@query(f"{EV_ALL} SELECT qid AS event_id, fraud_count, {DECISION} FROM two")
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index saved, loaded and validated before it is searched."""
     queries, built = ev_index(spark, sf_dir)
     path = work_dir(spark)
     index.save(built, path)
     loaded = index.load(spark, path, EV_CONFIG)
-    return decide.decide(search.two_pass(queries, loaded)).select(F.col("qid").alias("event_id"), "fraud_count", "fraud_score", "approved")
+    return decide.decide(search.two_pass(queries, loaded, leave_out_self=True)).select(F.col("qid").alias("event_id"), "fraud_count", "fraud_score", "approved")
 
 
-@query(f"{EV_TWO} SELECT qid AS event_id, 'ok' AS status, fraud_count, {DECISION} FROM two")
+@query(f"{EV_ALL} SELECT qid AS event_id, 'ok' AS status, fraud_count, {DECISION} FROM two")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scoring over a stream of payload files."""
     _, built = ev_index(spark, sf_dir)
     base = work_dir(spark)
     asked = event_payloads(spark, sf_dir).filter("event_id % 20 = 0").select("event_id", "value")
     asked.write.parquet(f"{base}/in")
-    score_stream(Engine(built), spark.readStream.schema(asked.schema).parquet(f"{base}/in"), "event_id", f"{base}/out", f"{base}/state").awaitTermination()
+    score_stream(Engine(built), spark.readStream.schema(asked.schema).parquet(f"{base}/in"), "event_id", f"{base}/out", f"{base}/state", leave_out_self=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "status", "fraud_count", "fraud_score", "approved")
+
+
+# --- sources, arguments, loops, life of an engine
+
+
+def json_references(spark: SparkSession, sf_dir: str, compression: str | None = None) -> str:
+    """Path of one JSON array of labelled vectors (the first 14 elements of the embeddings), in the order of vec_id."""
+    record = F.to_json(F.struct(F.slice("embedding", 1, 14).alias("vector"), F.when(F.col("label") < 5, "fraud").otherwise("legit").alias("label"), F.struct("vec_id").alias("other")))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", record.alias("record"))
+    least, most = rows.agg(F.min("vec_id"), F.max("vec_id")).first()
+    line = F.concat(F.when(F.col("vec_id") == least, "[").otherwise(","), F.col("record"), F.when(F.col("vec_id") == most, "]").otherwise(""))
+    path = work_dir(spark)
+    # one file, because the array is one
+    rows.repartition(1).sortWithinPartitions("vec_id").select(line.alias("value")).write.option("compression", compression or "none").text(path)
+    return path
+
+
+JSON_REFS = "WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ref_id, CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS INT) AS label, " + ", ".join(f"CAST(sign(CAST(embedding[{i + 1}] * 10000::FLOAT AS DOUBLE)) * floor(abs(CAST(embedding[{i + 1}] * 10000::FLOAT AS DOUBLE)) + 0.5) AS BIGINT) AS q{i}" for i in range(14)) + " FROM embeddings)"
+
+
+@query(f"{JSON_REFS} SELECT ref_id, {_names('q', 14)}, label FROM v")
+def references_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_references(spark, json_references(spark, sf_dir)).select("ref_id", *lane_names(14), "label")
+
+
+@query(f"{JSON_REFS} SELECT ref_id, {_names('q', 14)}, label FROM v")
+def references_json_gz_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_references(spark, json_references(spark, sf_dir, "gzip")).select("ref_id", *lane_names(14), "label")
+
+
+@query(f"{JSON_REFS} SELECT CAST(sum(label) AS BIGINT) AS fraud_count, CAST(sum(1 - label) AS BIGINT) AS legit_count, count(*) AS n FROM v")
+def references_json_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_counts(read_references(spark, json_references(spark, sf_dir))).select(*big("fraud_count", "legit_count", "n"))
+
+
+#: Changes that break every record of a reference file.
+WRONG_RECORDS = {
+    "no vector": (r'"vector"', '"other"'), "no label": (r'"label"', '"mark"'), "too few": (r'"vector":\[[^,]*,', '"vector":['), "too many": (r'"vector":\[', '"vector":[0.5,'),
+    "not a number": (r'"vector":\[[^,]*,', '"vector":["x",'), "other label": (r'"label":"[a-z]*"', '"label":"maybe"'), "none": (r"^\[", "["),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'FALSE' if k == 'none' else 'TRUE'})" for k in WRONG_RECORDS) + ") t(change, refused)")
+def reference_record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is a file refused whose records are all changed so?"""
+    good, out = json_references(spark, sf_dir), []
+    for name, (pattern, text) in WRONG_RECORDS.items():
+        path = work_dir(spark)
+        spark.read.text(good, wholetext=True).select(F.regexp_replace("value", pattern, text).alias("value")).write.text(path)
+        try:
+            read_references(spark, path).write.format("noop").mode("overwrite").save()
+            out.append((name, False))
+        except Exception:
+            out.append((name, True))
+    return spark.createDataFrame(out, "change string, refused boolean")
+
+
+ARGUMENTS = [(100, 16, 100), (0, 1, 1), (5, 6, 10), (10, 4, 3), (10, 0, 5), (5000, 4097, 5000), (5000, 4096, 4096)]
+
+
+@query("SELECT n, k, sample, n > 0 AND k BETWEEN 1 AND least(n, 4096) AND sample >= k AS accepted FROM (VALUES " + ", ".join(map(str, ARGUMENTS)) + ") t(n, k, sample)")
+def training_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def accepted(n: int, k: int, sample: int) -> bool:
+        try:
+            train.check_arguments(n, k, sample)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(*a, accepted(*a)) for a in ARGUMENTS], "n int, k int, sample int, accepted boolean")
+
+
+@query(f"SELECT CAST({K} AS BIGINT) AS seeds, CAST({K} AS BIGINT) AS distinct_seeds, CAST({K} AS BIGINT) AS of_references")
+def plus_plus_seeds_are_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of k-means++: as many as asked for, all different, all of them rows of the reference set."""
+    refs = embedding_refs(spark, sf_dir)
+    seeds = train.plus_plus_seeds(refs, K, DIMS, 400, 7).select(F.array(*lane_names(DIMS, "c")).alias("lanes"), "cell")
+    rows = refs.select(F.array(*lane_names(DIMS)).alias("lanes")).distinct()
+    return seeds.join(rows.withColumn("known", F.lit(1)), "lanes", "left").agg(F.count(F.lit(1)).alias("seeds"), F.countDistinct("lanes").alias("distinct_seeds"), F.count("known").alias("of_references"))
+
+
+ROUNDS = 4
+
+
+def _rounds(n: int) -> str:
+    parts = [EMB_INDEX, _updated(DIMS, "u1")]
+    for i in range(1, n):
+        parts += [_assigned("e", DIMS, f"a{i}", f"u{i}"), _updated(DIMS, f"u{i + 1}", f"a{i}", f"u{i}")]
+    return ", ".join(parts)
+
+
+@query(f"{_rounds(ROUNDS)} SELECT CAST(cell AS BIGINT) AS cell, {_names('c', DIMS)} FROM u{ROUNDS}")
+def lloyd_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop itself, with its stop: where nothing changes any more, further rounds change nothing."""
+    refs, seeds, _ = emb_index(spark, sf_dir)
+    return train.lloyd(refs, seeds, DIMS, ROUNDS).select(*big("cell"), *lane_names(DIMS, "c"))
+
+
+@query("SELECT * FROM (VALUES ('missing', FALSE, 'none'), ('fallback', TRUE, 'resources/index'), ('own', TRUE, 'index')) t(state, found, place)")
+def index_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an index is looked for: at its path, and only if nothing is there below the fallback folder."""
+    base, out = work_dir(spark), []
+    refs, seeds, assigned = emb_index(spark, sf_dir)
+    built = index.from_assigned(staged(assigned), seeds, EMB_CONFIG)
+    for state, target in (("missing", None), ("fallback", f"{base}/resources/index"), ("own", f"{base}/index")):
+        if target:
+            index.save(built, target)
+        try:
+            out.append((state, True, index.resolve(spark, f"{base}/index", f"{base}/resources/index").removeprefix(f"{base}/")))
+        except FileNotFoundError:
+            out.append((state, False, "none"))
+    return spark.createDataFrame(out, "state string, found boolean, place string")
+
+
+@query("SELECT * FROM (VALUES (0, 'new', FALSE, 503, 0), (1, 'loaded', TRUE, 200, 16), (2, 'loaded again', TRUE, 200, 3), (3, 'closed', FALSE, 503, 0)) t(step, state, ready, status, warmed)")
+def engine_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine before, with and after an index: readiness, the answer of the route, payloads scored by warm-up."""
+    _, built = ev_index(spark, sf_dir)
+    path, out = work_dir(spark), []
+    index.save(built, path)
+
+    def note(state: str, engine: Engine) -> None:
+        out.append((len(out), state, engine.ready(), decide.route("GET", "/ready", engine.ready())[0], engine.warm_up(spark)))
+
+    note("new", Engine())
+    engine = Engine.load(spark, path, EV_CONFIG)
+    note("loaded", engine)
+    engine.close()
+    with Engine.load(spark, path, EngineConfig.from_env({"WARMUP_ROUNDS": "3.9"}, dims=14, k=K, nprobe_fast=2, nprobe_full=4)) as again:
+        note("loaded again", again)
+    note("closed", again)
+    return spark.createDataFrame(out, "step int, state string, ready boolean, status int, warmed int")
+
+
+SETTINGS = ["", "0", "5", "3.9", "-1", "many", "inf", "1e2"]
+
+
+@query("SELECT text, rounds FROM (VALUES ('', 16), ('0', 0), ('5', 5), ('3.9', 3), ('-1', 16), ('many', 16), ('inf', 16), ('1e2', 100)) t(text, rounds)")
+def environment_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x, EngineConfig.from_env({"WARMUP_ROUNDS": x}).warmup_rounds) for x in SETTINGS], "text string, rounds int")
+
+
+ROUTES = [("GET", "/ready"), ("GET", "/ready?probe=1"), ("POST", "/ready"), ("POST", "/fraud-score"), ("GET", "/fraud-score"), ("GET", "/other")]
+
+
+@query("SELECT * FROM (VALUES ('GET', '/ready', 200, ''), ('GET', '/ready?probe=1', 200, ''), ('POST', '/ready', 405, 'GET'), ('POST', '/fraud-score', 0, ''), ('GET', '/fraud-score', 405, 'POST'), ('GET', '/other', 404, '')) t(method, url, status, allow)")
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(m, u, *decide.route(m, u, True)[:2]) for m, u in ROUTES]
+    return spark.createDataFrame([(m, u, status, headers.get("Allow", "")) for m, u, status, headers in found], "method string, url string, status int, allow string")

@@ -30,7 +30,7 @@ def test_oracle(spark, con, sf, name):
 def test_every_event_is_a_reference(spark, con, sf):
     name = "score_against_all_events"
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(ORACLES[name]).df())
-    _, built = queries.ev_index(spark, sf, every=True)
+    _, built = queries.ev_index(spark, sf)
     assert built.lists.count() == built.lists.select("ref_id").distinct().count() == con.execute("SELECT count(*) FROM events").fetchone()[0]
 
 

@@ -2,12 +2,14 @@ import gzip
 import json
 import random
 
+import numpy as np
 import pytest
 
+from tallyvec import cli
 from tallyvec.functions.expr import lane_names
 from tallyvec.operators import decide, index, search, train
 from tallyvec.plans.config import EngineConfig
-from tallyvec.plans.engine import Engine
+from tallyvec.plans.engine import WARM_UP, Engine
 from tallyvec.sources.references import read_references
 
 DIMS = 14
@@ -46,6 +48,64 @@ def test_all_probes_are_brute_force(refs, built):
     assert got == want
 
 
+@pytest.mark.parametrize("rows", [7, 40])
+def test_large_cells_are_dealt_to_groups(refs, built, monkeypatch, rows):
+    monkeypatch.setattr(search, "GROUP_ROWS", rows)
+    probed = search.probes(queries(refs), built.centroids, DIMS, 8)
+    want = {(q, k + 1): near[k][:2] for q, near in plain(refs).items() for k in range(5)}
+    found = search.nearest_by_cell(probed, built.lists, DIMS, leave_out_self=True)
+    assert {(r["qid"], r["rank"]): (r["d"], r["ref_id"]) for r in search.nearest(found).collect()} == want
+    every = search.candidates(probed, built.lists, DIMS, leave_out_self=True)
+    assert every.count() == 300 * 299 and {(r["qid"], r["rank"]): (r["d"], r["ref_id"]) for r in search.nearest(every).collect()} == want
+
+
+def test_slot_ties_of_dealt_cells(refs, built, monkeypatch):
+    probed = search.probes(queries(refs), built.centroids, DIMS, 3)
+    whole = search.slot_fold(search.candidates(probed, built.lists, DIMS, leave_out_self=True))
+    monkeypatch.setattr(search, "GROUP_ROWS", 9)
+    few = search.slot_fold(search.nearest_by_cell(probed, built.lists, DIMS, leave_out_self=True, ties="slot"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_nearest_cells_by_plain_distances():
+    rng = np.random.default_rng(1)
+    cells = train.Cells(np.arange(50), rng.integers(-3, 4, (50, 6)).astype(float))
+    rows = rng.integers(-3, 4, (200, 6)).astype(float)
+    for n in (1, 4, 50, 60):
+        places, found = cells.nearest(rows, n)
+        for r, p, d in zip(rows, places, found, strict=True):
+            want = sorted((int(((r - c) ** 2).sum()), k) for k, c in enumerate(cells.lanes))[:n]
+            assert list(zip(d.tolist(), p.tolist(), strict=True)) == want
+
+
+def test_settled_rounds_stop(spark, refs):
+    seeds = train.first_seeds(refs, 4, DIMS)
+    once, more = (sorted(map(tuple, train.lloyd(refs, spark.createDataFrame(seeds.collect(), seeds.schema), DIMS, n).collect())) for n in (60, 80))
+    assert once == more
+
+
+def test_keys_of_any_kind_and_name(spark, built):
+    rows = spark.createDataFrame([("a", "broken"), ("b", WARM_UP[0])], "id string, value string")
+    got = {r["id"]: r["status"] for r in Engine(built).score(rows, "id").collect()}
+    assert got == {"a": "parse_error", "b": "ok"}
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    data = [{"vector": [rng.random() for _ in range(14)], "label": rng.choice(["fraud", "legit"])} for _ in range(60)]
+    (tmp_path / "refs.json").write_text(json.dumps(data))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "payloads.txt").write_text("\n".join([*WARM_UP, "broken"]) + "\n")
+    at = f"file://{tmp_path}"
+    cli.main(["build-index", f"{at}/refs.json", f"{at}/index", "--k", "0x8", "--sample", "60", "--iterations", "3"])
+    cli.main(["score", f"{at}/index", f"{at}/in/payloads.txt", f"{at}/out"])
+    cli.main(["stream", f"{at}/index", f"{at}/streamed", f"{at}/state", "--option", f"path={at}/in"])
+    want = sorted(r["status"] for r in spark.read.parquet(f"{at}/out").collect())
+    assert want == ["ok", "ok", "parse_error"] == sorted(r["status"] for r in spark.read.parquet(f"{at}/streamed").collect())
+    with pytest.raises(SystemExit):
+        cli.main(["build-index", f"{at}/refs.json"])
+
+
 def test_second_pass_only_in_band(refs, built):
     rows = search.two_pass(queries(refs), built, leave_out_self=True).collect()
     exact = {q: sum(x[2] for x in near[:5]) for q, near in plain(refs).items()}
@@ -63,7 +123,7 @@ def test_missing_neighbours_are_legitimate(refs):
 
 
 def test_slot_ties(refs):
-    found = search.brute_force(queries(refs), refs, DIMS, leave_out_self=True)
+    found = search.brute_force(queries(refs), refs, DIMS, leave_out_self=True, ties="slot")
     got = {r["qid"]: r["fraud_count"] for r in search.fraud_counts(queries(refs), found, ties="slot").collect()}
     for q, near in plain(refs).items():
         slots = [[1e30, 0] for _ in range(5)]
@@ -77,6 +137,9 @@ def test_slot_ties(refs):
 def test_save_load_validate(spark, built, tmp_path):
     path = f"file://{tmp_path}/index"
     index.save(built, path)
+    index.save(built, path)
+    index.save(built, path)  # the version before the present one stays for its readers
+    assert len(list((tmp_path / "index").glob("v-*"))) == 2 and (tmp_path / "index" / "CURRENT").is_file()
     loaded = index.load(spark, path)
     assert loaded.lists.count() == 300 and Engine.load(spark, path).ready()
     assert not Engine.load(spark, f"file://{tmp_path}/none").ready()
