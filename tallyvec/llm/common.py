@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,20 +17,30 @@ CHUNK_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a temporary one in local mode, an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tallyvec-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + _own_dir()
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tallyvec-")
+
+
+def stage_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The tables stay until the folder is cleaned, since results are read from them later on.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyvec/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

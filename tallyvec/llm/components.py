@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop_stage, stage_table
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,7 +23,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("node").alias("j_node"), F.col("l").alias("j_l"))
         moved = lower.join(jump, F.col("new") == F.col("j_node"), "left").select("node", F.coalesce(F.least("new", "j_l"), F.col("new")).alias("l"), (F.least("new", F.coalesce("j_l", "new")) != F.col("l")).alias("changed"))
         moved = stage_table(moved, "labels")
+        drop_stage(labels)
         labels = moved.select("node", "l")
         if moved.filter("changed").isEmpty():
+            drop_stage(both)
             return labels.select("node", F.col("l").alias("component"))
     raise RuntimeError("components didn't settle")

@@ -67,7 +67,8 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac_columns.media_digest(flac_columns.to_flac(_read(spark, sf_dir, "documents")))
+    """The streams are written to the shared folder and read back before they are decoded."""
+    return flac_columns.media_digest(stage_table(flac_columns.to_flac(_read(spark, sf_dir, "documents")), "flac", "zstd"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
