@@ -43,8 +43,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc_io.round_trip(_read(spark, sf_dir, "pages"))
-    page = F.col("metadata.page_id")
-    return captures.select(page.alias("page_id"), F.coalesce("response.length", "metadata.length").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("metadata.refers_to_page").alias("refers_to"))
+    return captures.select("page_id", F.col("payload_length").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "refers_to")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,23 @@
 """WARC 1.1 archives: one transaction (request, response or revisit, metadata) a page.
 
 Records are built with SQL functions and written by Spark's text writer, whose line separator is the
-blank lines that end a record, so the files are .warc.gz files (one gzip member a file) in whatever
-store the shared folder is in.  Archives are read back whole by the binary-file reader, at most ``RECORDS_PER_FILE``
-transactions each, and cut by Content-Length; digests are verified.  Records of one transaction meet
-again through WARC-Concurrent-To.
+blank lines that end a record, so the files are .warc.gz files (one gzip member a file: the text writer
+can't end a member between records) in whatever store the shared folder is in.  They are read back as
+streams by the text reader with the same separator and cut by Content-Length, so a task holds a record
+or an Arrow batch at a time, not an archive; digests are verified.  Records of one transaction meet
+again through WARC-Concurrent-To, and revisits find the response's page and payload length through
+WARC-Refers-To.
 
 Of pages with equal payloads the one with the largest page_id is the response (rows that repeat it
 are responses as well), the others revisit it; null html is an empty payload; a null page_id counts
-as smallest; a null url gives no target.
+as smallest, and among null ones only all are responses; a null url gives no target; rows that repeat
+come back as often.  An empty table gives an empty result.  Other columns aren't looked at.  Very
+large pages take memory in proportion to their size.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 
@@ -22,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import batch_rows, shared_dir, stage_table
 
 RECORDS_PER_FILE = 2000
+#: Bytes of payload in a batch of records.
+BATCH = 4 << 20
 CRLF = "\r\n"
 #: Fixed values of the format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -88,63 +93,84 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))), ("WARC-Refers-To", F.when(revisit, _urn(F.lit("capture"), F.col("refers_to"), F.col("digest"), F.col("head_copy")))),
         ("Content-Type", F.lit("application/http;msgtype=response")),
     ], F.when(revisit, head).otherwise(F.concat(head, F.col("html"))))
-    notes = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f"{CRLF}payloadLength: "), F.col("length").cast("string"), F.lit(f"{CRLF}refersToPage: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(CRLF))
+    notes = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record("metadata", [("WARC-Record-ID", about), ("WARC-Date", when), ("WARC-Target-URI", target), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], notes)
     text = F.concat_ws(CRLF + CRLF, request, response, metadata)
     rows.select(text.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-RECORD = "kind string, record_id string, concurrent_to string, target string, digest string, refers_to string, page_id bigint, length bigint, refers_to_page bigint, payload binary"
+RECORD = "kind string, record_id string, concurrent_to string, target string, digest string, refers_to string, page_id bigint, length bigint, payload binary"
 
 
-def split_records(data: memoryview | bytes):
-    """(headers, block) of each record; headers have lower-case names."""
-    data, at = bytes(data), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+def split_records(segments):
+    """(headers, block) of each record of a stream that comes in pieces between blank lines; headers have lower-case names.
+
+    A piece may end inside a block that has blank lines itself, or begin with line ends that such a
+    block left: what counts is Content-Length.
+    """
+    held, size, need, headers = [], 0, None, None
+
+    def header(data: bytes):
+        lines = data.decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut short")
-        yield headers, block
-        at = end + 8 + size
+            raise ValueError(f"no record begins with {lines[0][:40]!r}")
+        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+    for segment in segments:
+        if headers is None:
+            segment = segment.lstrip(b"\r\n")
+            if not segment:
+                continue
+            headers = header(segment)
+            need, held, size = int(headers["content-length"]), [], 0
+            continue
+        held += [segment, b"\r\n\r\n"]
+        size += len(segment) + 4
+        if size >= need:
+            data = b"".join(held)
+            if data[need:].strip(b"\r\n"):
+                raise ValueError(f"{headers.get('warc-record-id')} is longer than it says")
+            yield headers, data[:need]
+            headers = None
+    if headers is not None:
+        data = b"".join(held)
+        if len(data) < need:
+            raise ValueError(f"{headers.get('warc-record-id')} is cut short")
+        yield headers, data[:need]
+
+
+def _row(h: dict, block: bytes, keep_payload: bool) -> tuple:
+    kind, payload, digest, length, page = h["warc-type"], None, None, None, None
+    if kind in ("response", "revisit"):
+        digest = h["warc-payload-digest"].removeprefix("sha1:")
+        if kind == "response":
+            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"payload of {h['warc-record-id']} doesn't match its digest")
+            length = len(payload)
+    elif kind == "metadata":
+        d = dict(x.split(": ", 1) for x in block.decode().split(CRLF) if ": " in x)
+        page = int(d["pageId"]) if d.get("pageId") else None
+    return kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-target-uri"), digest, h.get("warc-refers-to"), page, length, payload if keep_payload else None
 
 
 def read_records(spark, path: str, keep_payload: bool = True) -> DataFrame:
     """A row a record; payloads that don't match their digest are errors."""
-
-    def parse(data) -> list[tuple]:
-        out = []
-        for h, block in split_records(data):
-            kind, payload, digest, length, page, refers = h["warc-type"], None, None, None, None, None
-            if kind in ("response", "revisit"):
-                digest = h["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response":
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"payload of {h['warc-record-id']} doesn't match its digest")
-                    length = len(payload)
-            elif kind == "metadata":
-                d = dict(x.split(": ", 1) for x in block.decode().split(CRLF) if ": " in x)
-                page, length, refers = (int(d[k]) if d.get(k) else None for k in ("pageId", "payloadLength", "refersToPage"))
-            out.append((kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-target-uri"), digest, h.get("warc-refers-to"), page, length, refers, payload if keep_payload else None))
-        return out
-
-    types = [pa.string()] * 6 + [pa.int64()] * 3 + [pa.binary()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
+    schema = pa.schema([*[(n, pa.string()) for n in ("kind", "record_id", "concurrent_to", "target", "digest", "refers_to")], ("page_id", pa.int64()), ("length", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
-        for b in batches:
-            for data in b.column(0):
-                data = data.as_py()
-                cols = list(zip(*parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data), strict=True)) or [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        rows, size = [], 0
+        for h, block in split_records(x for b in batches for x in b.column(0).cast(pa.binary()).to_pylist()):
+            rows.append(_row(h, block, keep_payload))
+            size += len(block) if keep_payload else 100
+            if size > BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
+    # compressed files aren't split, and a task reads its files one after the other
+    return spark.read.option("lineSep", CRLF + CRLF).option("pathGlobFilter", "part-*").text(path).mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -159,8 +185,24 @@ def assemble(records: DataFrame) -> DataFrame:
     return groups.agg(pick(kind == "request").alias("request"), pick(kind.isin("response", "revisit")).alias("response"), pick(kind == "metadata").alias("metadata"))
 
 
+def resolve(captures: DataFrame) -> DataFrame:
+    """captures (a written table) with page_id, payload_length and refers_to, the page of the response that a revisit names.
+
+    A revisit whose response is in no archive has neither length nor page.
+    """
+    response = F.col("response.kind") == "response"
+    own = captures.withColumn("page_id", F.col("metadata.page_id"))
+    heads = own.filter(response).select(F.col("response.record_id").alias("__head"), F.col("page_id").alias("refers_to"), F.col("response.length").alias("payload_length"))
+    whole = own.filter(response).withColumns({"refers_to": F.lit(None).cast("bigint"), "payload_length": F.col("response.length")})
+    again = own.filter(~F.coalesce(response, F.lit(False))).join(heads, F.col("response.refers_to") == F.col("__head"), "left").drop("__head")
+    return whole.unionByName(again)
+
+
 def round_trip(pages: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """Write archives of pages into the shared folder, read them back, assemble the captures."""
-    path = f"{shared_dir(pages.sparkSession)}/tallyvec/warc-{uuid.uuid4().hex}"
+    """Write archives of pages into the shared folder, read them back, assemble the captures and resolve the revisits."""
+    spark = pages.sparkSession
+    path = f"{shared_dir(spark)}/tallyvec/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return assemble(read_records(pages.sparkSession, path, keep_payload))
+    with batch_rows(spark, 10_000):
+        captures = stage_table(assemble(read_records(spark, path, keep_payload)), "captures")
+    return resolve(captures)
