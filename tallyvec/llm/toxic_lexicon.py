@@ -1,20 +1,27 @@
 """Toxicity by a learned weighted lexicon.
 
-Texts are lower-cased and folded (homoglyphs of other scripts to Latin letters, digits and signs
-that stand for letters to these letters, zero-width characters dropped).  Lexicon entries are whole
-words or word beginnings with weights; exception phrases switch an entry off where they cover it.
-Entries are matched by one Aho-Corasick pass, and the sum of weights is normalised by length.
+Texts are folded (marks on letters and zero-width characters dropped, homoglyphs of other scripts and
+digits and signs that stand for letters turned into these letters, lower case, words that are spelled
+out with dots or dashes closed up) to a sequence of words with one blank between them.  Lexicon entries
+are whole words or word beginnings with weights; exception phrases, in the same form, switch an entry
+off where they cover it.  Both are matched by one Aho-Corasick pass, and the sum of weights is
+normalised by length.
 
 The lexicon is fitted on a bounded sample of labelled rows (``max_rows``, a documented parameter);
-scoring covers every row and whole texts.  Null texts count as empty; an empty text scores like one
-without matches.  Without labels the lexicon is empty and every score is the same low value.
-Repeated rows are scored alike; rows with a null id are scored, and count as held out.
+scoring covers every row and whole texts, in memory in proportion to a text's length.  Null texts count
+as empty; an empty text scores like one without matches.  Without labels the lexicon is empty and every
+score is the same low value.  Of labels that repeat an id the highest counts; repeated rows are scored
+alike, and rows with an id of the sample are all in it; rows with a null id are scored, and aren't
+learned from; which rows the sample takes of equals depends on a hash of the ids.  An empty table gives
+an empty result.  Other columns are left alone; one named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import ahocorasick
@@ -40,7 +47,7 @@ def _table() -> dict[int, str | None]:
             if len(c) == 1:
                 table[ord(c)] = b
     table |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-    table |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+    table |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370))}
     return table
 
 
@@ -49,108 +56,108 @@ FOLD = _table()
 BANG = re.compile(r"!(?=\w)(?<=\w!)")
 
 
+#: Single letters with one sign between them are one word.
+SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*·][^\W_]){2,}(?![^\W_])")
+SIGNS = re.compile(r"[.\-_*·]")
+
+
 def fold(text: str) -> str:
+    """The folded words of a text, a blank before, between and after them."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFD", text)
     if "!" in text:
         text = BANG.sub("i", text).replace("!", " ")
-    return text.translate(FOLD).lower()
+    text = SPELLED.sub(lambda m: SIGNS.sub("", m[0]), text.translate(FOLD).lower())
+    return " " + " ".join(WORD.findall(text)) + " "
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def _features(text: str) -> set[str]:
-    """Whole words ("word ") and word beginnings ("word") of four to six letters."""
-    out = set()
-    for w in set(WORD.findall(fold(text))):
-        if len(w) >= 3:
-            out.add(w + " ")
-            out.update(w[:n] for n in (4, 5, 6) if len(w) >= n)
-    return out
+#: Log odds that a word needs, letters that it has, and parts in which the threshold is tried on texts that the words weren't learned from.
+LEAST_ODDS, LEAST_LETTERS, FOLDS = 2.0, 3, 5
+
+
+def _distinct(words: list[list[str]]) -> list[int]:
+    """Places of the texts without most of the near copies of earlier ones: those whose least or greatest hash of five words is known."""
+    seen, kept = set(), []
+    for i, w in enumerate(words):
+        hashes = [zlib.crc32(" ".join(w[k : k + 5]).encode()) for k in range(max(1, len(w) - 4))]
+        ends = {min(hashes), max(hashes)} if w else {-1}
+        if not ends & seen:
+            kept.append(i)
+        seen |= ends
+    return kept
+
+
+def _odds(sets: list[set[str]], toxic: list[int], rows: list[int], min_support: int) -> dict[str, float]:
+    """Words of so many toxic texts at least with their log odds."""
+    pos, neg, n = Counter(), Counter(), [0, 0]
+    for i in rows:
+        (pos if toxic[i] else neg).update(sets[i])
+        n[1 if toxic[i] else 0] += 1
+    odds = {f: math.log((c + 0.5) / (n[1] + 1)) - math.log((neg[f] + 0.5) / (n[0] + 1)) for f, c in pos.items() if c >= min_support and len(f) >= LEAST_LETTERS}
+    return {f: w for f, w in odds.items() if w >= LEAST_ODDS}
 
 
 def _fit(texts: list[str], toxic: list[int], min_support: int, max_entries: int) -> list[tuple[str, str, float]]:
-    """Rows (kind, key, weight): entry, exception and threshold."""
-    bad = [t for t, y in zip(texts, toxic, strict=True) if y]
-    n_pos, n_neg = len(bad), len(texts) - len(bad)
-    pos: Counter = Counter()
-    for t in bad:
-        pos.update(_features(t))
-    candidates = {f for f, n in pos.items() if n >= min_support}
-    neg: Counter = Counter()
-    for t, y in zip(texts, toxic, strict=True):
-        if not y:
-            neg.update(candidates & _features(t))
-    weight = {f: math.log((pos[f] + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1)) for f in candidates}
-    weight = {f: w for f, w in weight.items() if w >= 3.0}
-    where: dict[str, set[int]] = {}
-    for i, t in enumerate(bad):
-        for f in weight.keys() & _features(t):
-            where.setdefault(f, set()).add(i)
-    entries: list[str] = []
-    open_docs = set(range(n_pos))
-    while where and len(entries) < max_entries:  # greedy cover of the toxic texts
-        best = max(where, key=lambda f: (len(where[f]) * weight[f], len(f), f))
-        if len(where[best]) < min_support:
-            break
-        entries.append(best)
-        hit = set(where[best])
-        open_docs -= hit
-        where = {f: left for f, s in where.items() if (left := s - hit) and f != best}
-    # words that share texts with the chosen ones are entries of their own where they are as telling
-    top = max((weight[f] for f in entries), default=0.0)
-    strong = sorted((f for f, w in weight.items() if f not in entries and not neg[f] and pos[f] >= 0.03 * n_pos and w >= top - 2.0), key=lambda f: (-pos[f], -len(f), f))
-    for f in strong:
-        if len(entries) < max_entries and not any(f.startswith(e.rstrip(" ")) or e.startswith(f) for e in entries):
-            entries.append(f)
-    phrases: dict[str, list[int]] = {}
-    doubtful = {f for f in entries if neg[f]}
-    for t, y in zip(texts, toxic, strict=True) if doubtful else ():
-        words = WORD.findall(fold(t))
-        for i, w in enumerate(words):
-            if w + " " in doubtful or any(w.startswith(f) for f in doubtful if f[-1] != " "):
-                for p in (" ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])):
-                    phrases.setdefault(p, [0, 0])[1 if y else 0] += 1
-    exceptions = sorted((p for p, (clean, other) in phrases.items() if clean >= 3 and not other and " " in p), key=lambda p: (-phrases[p][0], p))[:max_entries]
-    model = [("entry", f, weight[f]) for f in entries] + [("exception", p, 0.0) for p in exceptions]
-    matcher = Matcher(model)
-    raw = [matcher.raw(t) for t in texts]
-    cuts = sorted({r for r in raw if r > 0})
-    best = (-1, -1.0)
-    for c in [cuts[len(cuts) * i // 200] for i in range(200)] if cuts else []:  # of equals the lowest
-        right = sum((r >= c) == bool(y) for r, y in zip(raw, toxic, strict=True))
-        best = max(best, (right, -(c / 4 if c == cuts[0] else c * 0.98)))
-    return [*model, ("threshold", "", -best[1])]
+    """Rows (kind, key, weight): entry, exception and threshold.
+
+    Near copies count once, or the words of one copied text would seem telling.  The threshold is the
+    one with the fewest wrong answers on texts left out of the fold that their words were learned from.
+    """
+    words = [fold(t).split() for t in texts]
+    rows, sets = _distinct(words), [set(w) for w in words]
+
+    def learned(rows: list[int], support: int) -> list[tuple[str, str, float]]:
+        odds = _odds(sets, toxic, rows, support)
+        entries = sorted(odds, key=lambda f: (-odds[f], f))[:max_entries]
+        phrases: dict[str, list[int]] = {}
+        doubtful = {f for f in entries if any(f in sets[i] for i in rows if not toxic[i])}
+        for i in rows if doubtful else ():
+            if doubtful & sets[i]:
+                w = words[i]
+                for k, x in enumerate(w):
+                    if x in doubtful:
+                        for p in (w[max(0, k - 1) : k + 1], w[k : k + 2]):
+                            phrases.setdefault(" ".join(p), [0, 0])[1 if toxic[i] else 0] += 1
+        exceptions = sorted((p for p, (clean, other) in phrases.items() if clean >= 3 and not other and " " in p), key=lambda p: (-phrases[p][0], p))[:max_entries]
+        return [("entry", f"{f} ", odds[f]) for f in entries] + [("exception", p, 0.0) for p in exceptions]
+
+    tried: list[tuple[float, int]] = []
+    for part in range(FOLDS):
+        own = Matcher(learned([i for k, i in enumerate(rows) if k % FOLDS != part], max(2, min_support * (FOLDS - 1) // FOLDS)))
+        tried += [(own.raw(texts[i]), toxic[i]) for k, i in enumerate(rows) if k % FOLDS == part]
+    best, cuts = (-1, 0.0), sorted({r for r, _ in tried if r > 0})
+    for c in [cuts[len(cuts) * i // 300] for i in range(300)] if cuts else []:  # of equals the lowest
+        best = max(best, (sum((r >= c) == bool(y) for r, y in tried), -c))
+    below = max((r for r, _ in tried if r < -best[1]), default=0.0)  # no text tried lies between
+    return [*learned(rows, min_support), ("threshold", "", below + (-best[1] - below) / 4 or 1.0)]
 
 
 class Matcher:
+    """Entries and exceptions as one automaton over folded texts: a blank before a key is a word's beginning, one after it its end."""
+
     def __init__(self, model: list[tuple[str, str, float]]):
         self.threshold = next((w for kind, _, w in model if kind == "threshold"), 1.0)
         self.auto = ahocorasick.Automaton()
         for kind, key, w in model:
             if kind != "threshold":
-                bare = key.rstrip(" ")
-                old = self.auto.get(bare, None)
-                self.auto.add_word(bare, (len(bare), w if old is None else max(w, old[1]), kind == "exception" or (key[-1] == " " and (old is None or old[2]))))
+                form = f" {key.strip()} " if kind == "exception" or key[-1] == " " else f" {key}"
+                self.auto.add_word(form, (len(form), w if kind == "entry" else None))
         if len(self.auto):
             self.auto.make_automaton()
-        self.exceptions = {key for kind, key, _ in model if kind == "exception"}
 
     def raw(self, text: str | None) -> float:
         if not text or not len(self.auto):
             return 0.0
         folded = fold(text)
-        found, covered, n = [], [], len(folded)
-        for end, (size, w, whole) in self.auto.iter(folded):
-            start = end + 1 - size
-            if (start and folded[start - 1].isalnum()) or (whole and end + 1 < n and folded[end + 1].isalnum()):
-                continue
-            if w:
-                found.append((start, end, w))
-            else:
-                covered.append((start, end))
-        total = sum(w for a, b, w in found if not any(c <= a and b <= d for c, d in covered))
-        return total / (1.0 + math.log1p(n) / 10) if total else 0.0
+        found, covered = [], []
+        for end, (size, w) in self.auto.iter(folded):
+            (covered if w is None else found).append((end + 1 - size, end, w))
+        total = sum(w for a, b, w in found if not any(c <= a and b <= d for c, d, _ in covered))
+        return total / (1.0 + math.log1p(len(folded)) / 10) if total else 0.0
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, 4 * (self.raw(text) / self.threshold - 1)))))
