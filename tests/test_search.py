@@ -78,6 +78,21 @@ def test_nearest_cells_by_plain_distances():
             assert list(zip(d.tolist(), p.tolist(), strict=True)) == want
 
 
+def test_mllib_centroids(spark, refs):
+    """Cells from another trainer: with every cell probed the counts are those of brute force."""
+    config = EngineConfig(k=6, nprobe_fast=6, nprobe_full=6, sample=300)
+    centroids = train.mllib_centroids(refs, 6, DIMS, 5, 7)
+    other = index.from_assigned(train.assign(refs, centroids, DIMS), centroids, config)
+    index.validate(other)
+    exact = {q: sum(x[2] for x in near[:5]) for q, near in plain(refs).items()}
+    assert {r["qid"]: r["fraud_count"] for r in search.two_pass(queries(refs), other, leave_out_self=True).collect()} == exact
+
+
+def test_plan_has_one_probe_and_one_search(spark, refs, built):
+    plan = search.two_pass(queries(refs), built)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CoGroup") <= 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_settled_rounds_stop(spark, refs):
     seeds = train.first_seeds(refs, 4, DIMS)
     once, more = (sorted(map(tuple, train.lloyd(refs, spark.createDataFrame(seeds.collect(), seeds.schema), DIMS, n).collect())) for n in (60, 80))
