@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import index
+from .operators.staging import cleaned
 from .plans.config import EngineConfig
 from .plans.engine import Engine
 from .sources.references import read_references
@@ -42,9 +43,10 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     if a.command == "build-index":
         config = EngineConfig(k=a.k, iterations=a.iterations, sample=a.sample, seed=a.seed)
-        built = index.build(read_references(spark, a.input), config)
-        index.save(built, a.output)
-        print(index.list_stats(built.stats).first().asDict())
+        with cleaned(spark):
+            built = index.build(read_references(spark, a.input), config)
+            index.save(built, a.output)
+        print(index.list_stats(index.load(spark, a.output).stats).first().asDict())
     elif a.command == "stream":
         source = spark.readStream.format(a.format).options(**dict(x.split("=", 1) for x in a.option)).load()
         rows = source.select(F.col("value").cast("string").alias("value")).withColumn("id", F.expr("uuid()"))
@@ -53,7 +55,8 @@ def main(args: list[str] | None = None) -> None:
         score_stream(engine, rows, "id", a.output, a.checkpoint, trigger={"processingTime": a.every} if a.every else None).awaitTermination()
     else:
         rows = spark.read.text(a.input).withColumn("row", F.monotonically_increasing_id())
-        Engine.load(spark, a.index).score(rows, "row").write.mode("overwrite").parquet(a.output)
+        with cleaned(spark):
+            Engine.load(spark, a.index).score(rows, "row").write.mode("overwrite").parquet(a.output)
 
 
 if __name__ == "__main__":

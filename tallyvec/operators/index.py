@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import lane_names
 from ..plans.config import EngineConfig
 from . import train
+from .staging import staged
 
 MAGIC, VERSION, CURRENT = "TVIX", 1, "CURRENT"
 
@@ -64,13 +65,13 @@ def dim_major(centroids: DataFrame, dims: int) -> DataFrame:
 
 
 def build(refs: DataFrame, config: EngineConfig, centroids: DataFrame | None = None) -> Index:
-    """Train on a sample (unless centroids are given), assign all rows, make lists and statistics."""
+    """Train on a sample (unless centroids are given), assign all rows once, make lists and statistics."""
     n = refs.count()
     train.check_arguments(n, config.k, config.sample)
     if centroids is None:
         sample = train.sample_rows(refs, train.hash_key("ref_id", config.seed), config.sample)
         centroids = train.lloyd(sample, train.plus_plus_seeds(refs, config.k, config.dims, config.sample, config.seed), config.dims, config.iterations)
-    return from_assigned(train.assign(refs, centroids, config.dims), centroids, config)
+    return from_assigned(staged(train.assign(refs, centroids, config.dims)), centroids, config)
 
 
 def from_assigned(assigned: DataFrame, centroids: DataFrame, config: EngineConfig) -> Index:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset a temporary one in local mode, an error on a cluster."""
@@ -15,7 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="tallyvec-")
+    return "file://" + _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tallyvec-")
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -26,5 +37,21 @@ def work_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """df written once and read back."""
     path, schema = work_dir(df.sparkSession), df.schema
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are deleted at the end: for steps that write out their results."""
+    before = _written.set([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _written.get():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        _written.reset(before)

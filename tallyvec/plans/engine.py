@@ -10,6 +10,7 @@ from ..functions.expr import lane_names
 from ..functions.payload import parse_payload
 from ..operators import decide, index, search
 from ..operators.features import vectorize
+from ..operators.staging import cleaned
 
 
 #: Payloads that warm-up alternates: a plain purchase and one without a history.
@@ -59,7 +60,8 @@ class Engine:
             return 0
         turns = F.element_at(F.array(*map(F.lit, WARM_UP)), (F.col("id") % len(WARM_UP) + 1).cast("int"))
         rows = spark.range(self.index.config.warmup_rounds).withColumn("value", turns)
-        return self.score(rows, "id").filter("status = 'ok'").count()
+        with cleaned(spark):
+            return self.score(rows, "id").filter("status = 'ok'").count()
 
     def score(self, payloads: DataFrame, key: str, value: str = "value", leave_out_self: bool = False) -> DataFrame:
         """key, status, fraud_count, fraud_score, approved, body for every row (key must be unique).

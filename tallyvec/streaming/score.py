@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..operators.staging import cleaned
 from ..plans.engine import Engine
 
 
@@ -16,6 +17,7 @@ def score_stream(engine: Engine, payloads: DataFrame, key: str, path: str, check
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        engine.score(batch, key, value, leave_out_self).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with cleaned(batch.sparkSession):
+            engine.score(batch, key, value, leave_out_self).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

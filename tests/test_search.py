@@ -7,7 +7,7 @@ import pytest
 
 from tallyvec import cli
 from tallyvec.functions.expr import lane_names
-from tallyvec.operators import decide, index, search, train
+from tallyvec.operators import decide, index, search, staging, train
 from tallyvec.plans.config import EngineConfig
 from tallyvec.plans.engine import WARM_UP, Engine
 from tallyvec.sources.references import read_references
@@ -105,6 +105,14 @@ def test_keys_of_any_kind_and_name(spark, built):
     assert got == {"a": "parse_error", "b": "ok"}
 
 
+def test_staged_tables_go_with_their_step(spark, built, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"file://{tmp_path}")
+    left = lambda: list((tmp_path / "tallyvec").glob("*"))
+    assert Engine(built).warm_up(spark) == 16 and not left()
+    scored = Engine(built).score(spark.createDataFrame([(1, WARM_UP[0])], "k long, value string"), "k")
+    assert scored.count() == 1 and len(left()) == 1
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     data = [{"vector": [rng.random() for _ in range(14)], "label": rng.choice(["fraud", "legit"])} for _ in range(60)]
