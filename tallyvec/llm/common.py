@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +45,12 @@ def stage_table(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark deletes shuffle files of a step when nothing refers to it any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a stage table that no later step reads."""
     jvm = df.sparkSession._jvm

@@ -1,10 +1,11 @@
 """Exact n-gram Jaccard self-join with adaptive multi-match prefixes, and the groups that it links.
 
-Sets of word shingles are ordered rare shingles first (by a bounded table of frequent shingles; any
-common order gives right results).  Two sets with similarity t or more share at least l shingles in
-their prefixes of length n - ceil(t n) + l.  Each document takes the l whose estimated cost - prefix
-entries, the documents met there, and the candidates left after asking for l matches - is least, so
-documents made of frequent shingles get longer prefixes and stricter matching.
+Sets of word shingles are ordered rare shingles first, by a bounded table of frequent shingles that
+every task counts over all its rows and Spark sums up (any common order gives right results).  Two
+sets with similarity t or more share at least l shingles in their prefixes of length
+n - ceil(t n) + l.  Each document takes the l whose estimated cost - prefix entries, the documents met
+there, and the candidates left after asking for l matches - is least, so documents made of frequent
+shingles get longer prefixes and stricter matching.
 
 1. One pass lists shingle counts and a digest of each set; equal sets are one class from here on.
 2. A second pass lists the prefixes; shingles that one class alone has are dropped.
@@ -16,13 +17,17 @@ documents made of frequent shingles get longer prefixes and stricter matching.
    ends first there are n - prefix shingles at most.
 
    Pairs meet at their shingles; for shingles of more than ``BUSY`` classes whole prefixes are
-   compared in blocks instead, so a busy shingle gives no row for every pair.
+   compared in blocks instead, so a busy shingle gives no row for every pair.  A pair leaves the
+   blocks at the first busy shingle only that both have.
 
 No list of candidates is cut.  Sets travel only for pairs that are verified, and that the parity
-sketches of their sets (an upper bound of the overlap) leave in reach.  Null texts and texts
-without words have empty sets and are linked with nothing; rows that repeat an id are one document
-(of differing texts any linked one links the id); null ids are a document of their own, smaller than
-all; an empty table gives an empty result.
+sketches of their sets (an upper bound of the overlap) leave in reach.  Long texts are cut into
+shingles in pieces of ``CHUNK`` bytes, so they take memory in proportion to their words only.  Columns
+but the id and the text aren't looked at.  Shingles and sets are known by 64 and 128 bits of hashes.
+
+Null texts and texts without words have empty sets and are linked with nothing; rows that repeat an
+id are one document (of differing texts any linked one links the id); null ids are a document of their
+own, smaller than all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,32 +39,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, chunks, stage_table
+from .common import batch_rows, chunks, drop_stage, release, stage_table
 from .components import connected_components
 from .hashing import ODD, mix, shingle_sets
 
 NO_ID = -(1 << 63)
 #: Texts handled in one vectorised step, in bytes, and rows of a batch: each byte takes some hundred bytes on the way.
 CHUNK, ROWS = 256 << 10, 1000
-#: Frequent shingles whose counts order the prefixes: a bounded hint, without effect on results.
-HINTS, HINT_LEAST = 1 << 16, 4
+#: Frequent shingles whose counts order the prefixes, of a task and of the corpus, and shingles that a task counts
+#: at once: bounded hints, without effect on results.
+HINTS, COUNTED = 1 << 16, 1 << 20
+#: A class is dealt out by a broadcast table if more than one in HOT rows has it: fewer than HOT classes.
+HOT = 2000
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Classes of a shingle up to which its pairs become rows; classes in one side of a block of pairs, and in one
 #: side of a product; shingles in one product.
 BUSY, BLOCK, STEP, SLAB = 8, 4096, 512, 2048
+WHITE = b" \t\n\v\f\r"
+
+
+def long_shingles(raw: bytes, size: int) -> np.ndarray:
+    """Distinct shingle hashes of one text, in pieces of CHUNK bytes that share their last size - 1 words."""
+    parts, rest, at = [], b"", 0
+    while at < len(raw):
+        end = at + CHUNK
+        while end < len(raw) and raw[end] not in WHITE:  # no word is cut
+            end += 1
+        piece, at = rest + raw[at:end], end
+        words = piece.rsplit(None, size - 1)
+        if len(words) < size and at < len(raw):  # too few words for a shingle so far
+            rest = piece + b" "
+            continue
+        parts.append(np.unique(shingle_sets([piece], size)[0]))
+        rest = b" ".join(words[1:]) + b" "
+        if not raw[at:].strip():
+            break
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def _sets(batches, size: int):
-    """(ids, raw texts, hashes, document numbers, bounds) chunk by chunk."""
+    """(ids, hashes, document numbers, bounds) chunk by chunk."""
     for b in batches:
         texts = b.column(1).cast(pa.binary()).to_pylist()
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for i, j in chunks(texts, CHUNK):
             raw = [t or b"" for t in texts[i:j]]
+            if j - i == 1 and len(raw[0]) > 2 * CHUNK:
+                h = long_shingles(raw[0], size)
+                yield ids[i:j], h, np.zeros(len(h), np.int64), np.array([0, len(h)])
+                continue
             h, d = shingle_sets(raw, size)
             yield ids[i:j], h, d, np.searchsorted(d, np.arange(len(raw) + 1))
 
 
+class Frequent:
+    """Counts of the more frequent of the hashes that a task sees: of COUNTED at once the rare ones are forgotten."""
+
+    def __init__(self):
+        self.keys, self.counts, self.fresh, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.fresh.append(hashes)
+        self.waiting += len(hashes)
+        if self.waiting >= COUNTED:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, counts = np.unique(np.concatenate([self.keys, *self.fresh]) if self.fresh else self.keys, return_counts=True)
+        counts[np.searchsorted(keys, self.keys)] += self.counts - 1
+        self.fresh, self.waiting, least = [], 0, 1
+        while len(keys) > COUNTED // 2:  # the next count up is forgotten
+            keys, counts = keys[counts > least], counts[counts > least]
+            least += 1
+        self.keys, self.counts = keys, counts
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        often = np.flatnonzero(self.counts > 1)
+        if len(often) > HINTS:
+            often = often[np.argpartition(-self.counts[often], HINTS)[:HINTS]]
+        return self.keys[often], self.counts[often]
+
+
 SUMMARY = "kind int, id bigint, n bigint, k0 bigint, k1 bigint, sketch binary"
 _SUMMARY = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("sketch", pa.binary())])
 
@@ -94,16 +155,17 @@ def most_overlap(x: bytes, y: bytes, nx: int, ny: int) -> int:
 
 def _summarise(size: int):
     def run(batches):
+        frequent = Frequent()
         for ids, h, _, bounds in _sets(batches, size):
             n, k0, k1 = _digests(h, bounds)
             m = len(ids)
             sketch = pa.array([parity_sketch(h[bounds[i] : bounds[i + 1]]) if n[i] else None for i in range(m)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids), pa.array(n), pa.array(k0), pa.array(k1), sketch], schema=_SUMMARY)
-            shingle, count = np.unique(h, return_counts=True)
-            often = count >= HINT_LEAST
-            m = int(often.sum())
-            zero = pa.array(np.zeros(m, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(shingle[often].view(np.int64)), pa.array(count[often]), zero, zero, pa.nulls(m, pa.binary())], schema=_SUMMARY)
+            frequent.add(h)
+        shingle, count = frequent.top()
+        m = len(shingle)
+        zero = pa.array(np.zeros(m, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(shingle.view(np.int64)), pa.array(count), zero, zero, pa.nulls(m, pa.binary())], schema=_SUMMARY)
 
     return run
 
@@ -247,6 +309,7 @@ def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int,
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "ask", "bsk")
     with batch_rows(spark, 500):
         pairs = stage_table(both.mapInArrow(_promising(percent), PAIRS).distinct(), "pairs")
+    release(spark)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def marks(batches):  # a bitmap of bounded size: it only saves work
@@ -275,41 +338,49 @@ PAIRS = "a bigint, b bigint"
 
 
 def _block_pairs(percent: int):
-    """Sorted rows (shingle, side_a, side_b, block, rep, n, need, g, prefix) to pairs that share enough of their prefixes."""
+    """Sorted rows (shingle, lo, hi, block, rep, n, need, g, sign, prefix) to pairs that share enough of their prefixes.
 
-    def compare(rep, n, need, g, prefix, left, right):
+    Odd hashes of a prefix stand for one busy shingle each: the pair leaves at the smallest that both have.
+    """
+
+    def compare(rep, n, need, g, sign, prefix, left, right):
         """Pairs of rows left x right; every prefix is an array of hashes."""
         rows = np.concatenate([left, right])
         sizes = [len(prefix[r]) for r in rows]
-        _, token, count = np.unique(np.concatenate([prefix[r] for r in rows]), return_inverse=True, return_counts=True)
+        signs, token, count = np.unique(np.concatenate([prefix[r] for r in rows]), return_inverse=True, return_counts=True)
         of = np.repeat(np.arange(len(rows)), sizes)
         common = count[token] > 1
         names, token = np.unique(token[common], return_inverse=True)
         order = np.argsort(token, kind="stable")
         token, of = token[order], of[common][order]
         shared = np.zeros((len(left), len(right)), np.int64)
+        first = np.flatnonzero((signs[names] & 1 == 1) & (signs[names] < sign)) if sign & 1 else names[:0]
+        met = np.zeros(shared.shape, bool)
         for at in range(0, len(names), SLAB):
             width = min(SLAB, len(names) - at)
             i, j = np.searchsorted(token, [at, at + width])
             cells = np.bincount(of[i:j] * width + (token[i:j] - at), minlength=len(rows) * width)
             grid = cells.astype(np.float32).reshape(len(rows), width)  # hashes of a row that fall together count each: never too few
             shared += np.rint(grid[: len(left)] @ grid[len(left) :].T).astype(np.int64)
+            before = first[(first >= at) & (first < at + width)] - at
+            if len(before):
+                met |= grid[: len(left), before] @ grid[len(left) :, before].T > 0.5
         x, y = left[:, None], right[None, :]
         nx, ny = n[x], n[y]
         beyond = np.maximum(-(-percent * nx // 100) - need[x], -(-percent * ny // 100) - need[y])
         least = np.maximum(np.minimum(need[x], need[y]), _overlap_needed(nx, ny, percent) - beyond)
-        ok = (shared >= np.maximum(least, 1)) & (g[x] != g[y]) & (rep[x] != rep[y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        ok = ~met & (shared >= np.maximum(least, 1)) & (g[x] != g[y]) & (rep[x] != rep[y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
         i, j = np.nonzero(ok)
         return rep[left[i]], rep[right[j]]
 
     def solve(t: pa.Table):
         rep, n, need, g = (t.column(k).to_numpy().astype(np.int64) for k in ("rep", "n", "need", "g"))
-        block, lo, hi = (t.column(k).to_numpy() for k in ("block", "lo", "hi"))
+        block, lo, hi, sign = (t.column(k).to_numpy() for k in ("block", "lo", "hi", "sign"))
         prefix = [x.values.to_numpy() for x in t.column("prefix")]
         one, two = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
         for i in range(0, len(one), STEP):
             for j in range(i if lo[0] == hi[0] else 0, len(two), STEP):
-                a, b = compare(rep, n, need, g, prefix, one[i : i + STEP], two[j : j + STEP])
+                a, b = compare(rep, n, need, g, int(sign[0]), prefix, one[i : i + STEP], two[j : j + STEP])
                 if len(a):
                     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -330,21 +401,55 @@ def _block_pairs(percent: int):
     return run
 
 
-def _busy_pairs(busy_rows: DataFrame, open_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that meet at busy shingles; busy_rows have m, the classes of their shingle.
+def _busy_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that meet at busy shingles; open_rows have m, the classes of their shingle, and head.
 
     Classes of different groups share open shingles only, so these are all that a prefix needs; they
-    travel as 32-bit hashes, which can make a pair a candidate but never hide one.
+    travel as 32-bit signs, which can make a pair a candidate but never hide one.
     """
-    prefixes = open_rows.join(busy_rows.select("rep").distinct(), "rep").groupBy("rep").agg(F.collect_list(F.hash("shingle")).alias("prefix"))
+    own = F.struct("shingle", "m", "sign")
+    per = open_rows.groupBy("rep").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.max("g").alias("g"), F.collect_list("sign").alias("prefix"), F.collect_list(F.when(F.col("head"), own)).alias("heads"))
+    rows = per.select("rep", "n", "need", "g", "prefix", F.explode("heads").alias("h")).select("rep", "n", "need", "g", "prefix", "h.*")
     sides = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")
-    rows = busy_rows.withColumn("sides", sides).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    rows = rows.join(prefixes, "rep").select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "need", "g", "prefix")
+    block = F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")
+    rows = rows.withColumn("sides", sides).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "need", "g", "sign", "prefix")
     cells = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
     return cells.mapInArrow(_block_pairs(percent), PAIRS).distinct()
 
 
+def _marked(mixed: DataFrame) -> DataFrame:
+    """mixed (shingle, m, s0, s1, s2) with head and sign: 31 bits of a hash, and an odd one where it is that of one head alone.
+
+    Busy shingles of the very same classes give the same pairs: the smallest of them, a head, stands for all.
+    """
+    half = F.shiftleft(F.hash("shingle"), 1)
+    heads = mixed.filter(F.col("m") > BUSY).groupBy("m", "s0", "s1", "s2").agg(F.min("shingle").alias("shingle")).select("shingle", half.alias("half"))
+    alone = heads.groupBy("half").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("heads"))
+    odd = heads.join(alone.filter("heads = 1").select("shingle", F.lit(1).alias("odd")), "shingle", "left").select("shingle", F.lit(True).alias("head"), "odd")
+    return mixed.join(odd, "shingle", "left").select("shingle", "m", F.coalesce("head", F.lit(False)).alias("head"), half.bitwiseOR(F.coalesce("odd", F.lit(0))).alias("sign"))
+
+
+def _hints(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent shingles, HINTS at most, of what the tasks have counted.
+
+    A histogram of the counts (16 steps each time that they double) tells which come to the driver.
+    """
+    sums = counted.groupBy("id").agg(F.sum("n").alias("c"))
+    step = F.floor(F.log2("c") * 16).cast("int")
+    taken, least = 0, None
+    for r in sums.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # 1024 rows at most
+        taken += r["n"]
+        if taken > HINTS:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = sums.filter(step >= least).toPandas()
+    order = np.argsort(found["id"].to_numpy(np.int64).view(np.uint64))
+    return found["id"].to_numpy(np.int64).view(np.uint64)[order], found["c"].to_numpy(np.int64)[order]
+
+
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each id: n_shingles, component_id (smallest id reachable by links)."""
     with batch_rows(docs.sparkSession, ROWS):
@@ -356,16 +461,13 @@ def _groups(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     summary = stage_table(rows.mapInArrow(_summarise(size), SUMMARY), "summary")
     sets = summary.filter("kind = 0").select("id", "n", "k0", "k1")
     sketches = summary.filter("kind = 0 and n > 0").select("id", "n", "sketch")
-    hints = summary.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(HINTS).toPandas()
-    order = np.argsort(hints["id"].to_numpy(np.int64).view(np.uint64))
-    hint_keys = hints["id"].to_numpy(np.int64).view(np.uint64)[order]
-    hint_counts = hints["c"].to_numpy(np.int64)[order]
-
+    hint_keys, hint_counts = _hints(summary.filter("kind = 1"))
     prefixes = rows.mapInArrow(_prefixes(size, percent, hint_keys, hint_counts), PREFIX)
     shared = prefixes.repartition("shingle").sortWithinPartitions("shingle", "k0", "k1").mapInArrow(_shared_only, PREFIX)
     # a class goes by its smallest id from here on
-    classes = sets.filter("n > 0").groupBy("k0", "k1", "n").agg(F.min("id").alias("rep"))
+    classes = sets.filter("n > 0").groupBy("k0", "k1", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     shared = stage_table(shared.join(classes.select("k0", "k1", "rep"), ["k0", "k1"]).select("shingle", "rep", "n", "need"), "shared")
+    release(docs.sparkSession)
 
     # provisional groups: each class and its best partner among the first classes of its shingles
     def reach(x: str, y: str):
@@ -381,6 +483,7 @@ def _groups(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     best = tried.groupBy("rep").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("minus_a"))).alias("m"))
     found = _verified(rows, sketches, best.select((-F.col("m.minus_a")).alias("a"), F.col("rep").alias("b")), size, percent)
     groups = connected_components(found)
+    release(docs.sparkSession)
 
     # pairs of different groups that share enough of their prefixes
     named = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).select("shingle", "rep", "n", "need", "g")
@@ -388,21 +491,28 @@ def _groups(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     signs = [F.bit_xor(mark).alias("s0"), F.sum(F.shiftright(mark, 32)).alias("s1"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2")]
     mixed = named.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m"), *signs)
     mixed = stage_table(mixed.filter("lo < hi").select("shingle", "m", *[F.when(F.col("m") > BUSY, F.col(c)).alias(c) for c in ("s0", "s1", "s2")]), "mixed")
-    open_rows = stage_table(named.join(mixed.select("shingle", "m"), "shingle"), "open")
-    # busy shingles of the very same classes give the same pairs: the smallest stands for all
-    heads = mixed.filter(F.col("m") > BUSY).groupBy("m", "s0", "s1", "s2").agg(F.min("shingle").alias("shingle")).select("shingle")
-    busy = _busy_pairs(open_rows.filter(F.col("m") > BUSY).join(heads, "shingle"), open_rows, percent)
+    open_rows = stage_table(named.join(_marked(mixed), "shingle"), "open")
+    drop_stage(shared)
+    release(docs.sparkSession)
+    busy = _busy_pairs(open_rows, percent)
     open_rows = open_rows.filter(F.col("m") <= BUSY)
     x = open_rows.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "need", "g")])
     y = open_rows.select(F.col("shingle").alias("y_shingle"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "need", "g")])
     met = x.join(y, (F.col("shingle") == F.col("y_shingle")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_g") != F.col("y_g")) & fits(F.col("x_n"), F.col("y_n")))
     enough = met.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest(F.least("x_need", "y_need").cast("bigint"), reach("x", "y"))).alias("least")).filter("c >= least")
     more = _verified(rows, sketches, enough.select("a", "b").unionByName(busy).distinct(), size, percent)
-
-    copies = sets.filter("n > 0").join(classes, ["k0", "k1", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = found.unionByName(more)
-    final = connected_components(links)
-    of_rep = copies.join(final.withColumnRenamed("node", "a"), "a", "left").groupBy(F.col("b").alias("id")).agg(F.min(F.coalesce("component", "a")).alias("component"))
-    out = sets.groupBy("id").agg(F.max("n").alias("n")).join(of_rep, "id", "left")
+    for done in (open_rows, mixed):
+        drop_stage(done)
+    release(docs.sparkSession)
+
+    final = connected_components(found.unionByName(more))
+    of_class = stage_table(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k0", "k1", "n", "rows", F.coalesce("component", "rep").alias("component")), "classes")
+    total = of_class.agg(F.sum("rows")).first()[0] or 0
+    # classes with very many rows go along with the task, fewer than HOT of them
+    hot = F.broadcast(of_class.filter(F.col("rows") * HOT > total).select("k0", "k1", "n", F.col("component").alias("hot")))
+    marked = sets.join(hot, ["k0", "k1", "n"], "left")
+    cold = marked.filter(F.col("hot").isNull()).join(of_class.filter(F.col("rows") * HOT <= total).drop("rows"), ["k0", "k1", "n"], "left")
+    of_row = marked.filter(F.col("hot").isNotNull()).select("id", "n", F.col("hot").alias("component")).unionByName(cold.select("id", "n", "component"))
+    out = of_row.groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), real("component").alias("__c"), F.col("component").isNull().alias("__alone"), "id").select("doc_id", "n_shingles", F.when(F.col("__alone"), F.col("doc_id")).otherwise(F.col("__c")).alias("component_id"))
