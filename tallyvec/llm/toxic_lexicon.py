@@ -22,9 +22,9 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,26 +79,34 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
 LEAST_ODDS, LEAST_LETTERS, FOLDS = 2.0, 3, 5
 
 
-def _distinct(words: list[list[str]]) -> list[int]:
-    """Places of the texts without most of the near copies of earlier ones: those whose least or greatest hash of five words is known."""
-    seen, kept = set(), []
-    for i, w in enumerate(words):
+def _numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray], list[int]]:
+    """Words of the texts, the texts as numbers of words, and the places of those without most of the near copies of earlier ones.
+
+    A text counts as a near copy whose least or greatest hash of five words is known.
+    """
+    numbers: dict[str, int] = {}
+    rows, seen, kept = [], set(), []
+    for i, t in enumerate(texts):
+        w = fold(t).split()
+        rows.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in w), np.int32, len(w)))
         hashes = [zlib.crc32(" ".join(w[k : k + 5]).encode()) for k in range(max(1, len(w) - 4))]
         ends = {min(hashes), max(hashes)} if w else {-1}
         if not ends & seen:
             kept.append(i)
         seen |= ends
-    return kept
+    return list(numbers), rows, kept
 
 
-def _odds(sets: list[set[str]], toxic: list[int], rows: list[int], min_support: int) -> dict[str, float]:
-    """Words of so many toxic texts at least with their log odds."""
-    pos, neg, n = Counter(), Counter(), [0, 0]
-    for i in rows:
-        (pos if toxic[i] else neg).update(sets[i])
-        n[1 if toxic[i] else 0] += 1
-    odds = {f: math.log((c + 0.5) / (n[1] + 1)) - math.log((neg[f] + 0.5) / (n[0] + 1)) for f, c in pos.items() if c >= min_support and len(f) >= LEAST_LETTERS}
-    return {f: w for f, w in odds.items() if w >= LEAST_ODDS}
+def _odds(words: list[str], sets: list[np.ndarray], toxic: list[int], rows: list[int], min_support: int) -> dict[int, float]:
+    """Numbers of words of so many toxic texts at least with their log odds."""
+    counts, n = [], []
+    for y in (1, 0):
+        own = [sets[i] for i in rows if bool(toxic[i]) == bool(y)]
+        counts.append(np.bincount(np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64), minlength=len(words)))
+        n.append(len(own))
+    often = np.flatnonzero(counts[0] >= min_support)
+    odds = np.log((counts[0][often] + 0.5) / (n[0] + 1)) - np.log((counts[1][often] + 0.5) / (n[1] + 1))
+    return {int(f): float(w) for f, w in zip(often, odds, strict=True) if w >= LEAST_ODDS and len(words[f]) >= LEAST_LETTERS}
 
 
 def _fit(texts: list[str], toxic: list[int], min_support: int, max_entries: int) -> list[tuple[str, str, float]]:
@@ -107,23 +115,27 @@ def _fit(texts: list[str], toxic: list[int], min_support: int, max_entries: int)
     Near copies count once, or the words of one copied text would seem telling.  The threshold is the
     one with the fewest wrong answers on texts left out of the fold that their words were learned from.
     """
-    words = [fold(t).split() for t in texts]
-    rows, sets = _distinct(words), [set(w) for w in words]
+    words, numbered, rows = _numbered(texts)
+    sets = [np.unique(x) for x in numbered]
 
     def learned(rows: list[int], support: int) -> list[tuple[str, str, float]]:
-        odds = _odds(sets, toxic, rows, support)
-        entries = sorted(odds, key=lambda f: (-odds[f], f))[:max_entries]
+        odds = _odds(words, sets, toxic, rows, support)
+        entries = sorted(odds, key=lambda f: (-odds[f], words[f]))[:max_entries]
         phrases: dict[str, list[int]] = {}
-        doubtful = {f for f in entries if any(f in sets[i] for i in rows if not toxic[i])}
-        for i in rows if doubtful else ():
-            if doubtful & sets[i]:
-                w = words[i]
-                for k, x in enumerate(w):
-                    if x in doubtful:
-                        for p in (w[max(0, k - 1) : k + 1], w[k : k + 2]):
-                            phrases.setdefault(" ".join(p), [0, 0])[1 if toxic[i] else 0] += 1
-        exceptions = sorted((p for p, (clean, other) in phrases.items() if clean >= 3 and not other and " " in p), key=lambda p: (-phrases[p][0], p))[:max_entries]
-        return [("entry", f"{f} ", odds[f]) for f in entries] + [("exception", p, 0.0) for p in exceptions]
+        among = np.zeros(len(words), bool)
+        among[entries] = True
+        clean = np.zeros(len(words), bool)
+        for i in rows:
+            if not toxic[i]:
+                clean[sets[i]] = True
+        doubtful = among & clean
+        for i in rows if doubtful.any() else ():
+            w = numbered[i]
+            for k in np.flatnonzero(doubtful[w]).tolist():
+                for p in (w[max(0, k - 1) : k + 1], w[k : k + 2]):
+                    phrases.setdefault(" ".join(words[x] for x in p), [0, 0])[1 if toxic[i] else 0] += 1
+        exceptions = sorted((p for p, (fine, other) in phrases.items() if fine >= 3 and not other and " " in p), key=lambda p: (-phrases[p][0], p))[:max_entries]
+        return [("entry", f"{words[f]} ", odds[f]) for f in entries] + [("exception", p, 0.0) for p in exceptions]
 
     tried: list[tuple[float, int]] = []
     for part in range(FOLDS):
