@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 EMPTY = hashlib.sha256(b"").hexdigest()
 #: Runs in each of two generations that one Python worker remembers; runs longer than LONG are not remembered.
-CACHE_RUNS, LONG = 300_000, 48
+CACHE_RUNS, LONG = 100_000, 48
 #: A sign for each byte that belongs to no character.
 codecs.register_error("tallyvec-bytes", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
