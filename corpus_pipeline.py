@@ -29,14 +29,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that with the smallest id, null ids last; of rows that repeat it one.  Rows without words stay.
 
-    Rows are told apart by their places in the table, so an id that repeats with other texts is no group.
+    Rows are known by their ids where these are all there and all different, else by their places in
+    the table, so an id that repeats with other texts is no group.
     """
-    rows = docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id())
+    rows, ids = docs.select(*COLUMNS), docs.select("doc_id")
+    n, known, distinct = ids.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    unique = n == known == distinct
+    rows = rows.withColumn("__row", F.col("doc_id") if unique else F.monotonically_increasing_id())
     groups = jaccard_join.jaccard_groups(rows.select("__row", "text"), doc_id="__row").filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    found = rows.select("__row", "doc_id").join(groups, "__row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = stage_table(found.groupBy("__group").agg(first.alias("first")).select("__group", F.col("first.__row").alias("__row")), "kept")
-    dropped = groups.join(kept.select("__row"), "__row", "left_anti").select("__row")
+    if unique:  # the group goes by its smallest id
+        dropped = groups.filter("__group <> __row").select("__row")
+    else:
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+        kept = stage_table(rows.select("__row", "doc_id").join(groups, "__row").groupBy("__group").agg(first.alias("first")).select(F.col("first.__row").alias("__row")), "kept")
+        dropped = groups.join(kept, "__row", "left_anti").select("__row")
     return rows.join(dropped, "__row", "left_anti").select(*COLUMNS)
 
 
