@@ -15,7 +15,8 @@ their anchor's q-gram, and anchors are few (about one in 35 bytes).
    each pass reusing the pointers that the last one updated (depths 4, 8, 16, 32, 64, 100).  Windows in
    one bucket at depth 100 are equal; the earliest stays.  Contexts are first dealt by the bytes next to
    the anchor on the side that a window must reach into.  Of a key with more than ``KEY_ROWS`` contexts
-   the windows themselves are dealt out, each by a 128-bit hash of its place and bytes.
+   the windows themselves are dealt out, each by a 128-bit hash of its place and bytes; those of q-grams
+   with so many contexts, and more than one in ``HOT`` of all, never meet in one task.
 4. Each text gets its repeated windows back and loses the bytes that they cover.
 
 Order is by (doc_id, hash of the text, start); null ids come first.  Rows that repeat id and text are
@@ -48,6 +49,8 @@ NO_ID = -(1 << 62)
 CHUNK = 2 << 20
 #: Contexts of one key that one task refines together, and of one refinement.
 KEY_ROWS, REFINED = 20_000, 4000
+#: Fewer q-grams than this have more than one in so many of the contexts.
+HOT = 2000
 PAD = bytes(CONTEXT)
 
 
@@ -186,29 +189,35 @@ CONTEXTS = "key bigint, side int, doc bigint, th bigint, pos int, before int, af
 _CONTEXTS = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("bytes", pa.binary())])
 
 
-def _cut_contexts(batches):
-    """Contexts of the anchors that need a closer look, once for windows that reach far to the left and once to the right."""
-    for b in batches:
-        rows = [[] for _ in _CONTEXTS]
-        seen = set()
-        for did, th, raw, edges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if (did, th) in seen:
-                continue
-            seen.add((did, th))
-            padded = PAD + raw + PAD
-            for e in edges:
-                pos, gram = e["pos"], e["gram"]
-                before, after = min(pos, SIDE), min(len(raw) - pos - GRAM, SIDE)
-                if before + after < SIDE:
+def _cut_contexts(hot: frozenset, wanted: bool):
+    """Contexts of the anchors that need a closer look, once for windows that reach far to the left and once to the right.
+
+    Only those of hot q-grams are wanted, or only the others.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = [[] for _ in _CONTEXTS]
+            seen = set()
+            for did, th, raw, edges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if (did, th) in seen:
                     continue
-                cut = padded[pos + CONTEXT - SIDE : pos + CONTEXT + SPAN]
-                for side, near, reach in ((0, cut[SIDE - HALF : SIDE], before), (1, cut[SPAN : SPAN + HALF], after)):
-                    if reach >= HALF:
-                        key = int.from_bytes(hashlib.blake2b(near + gram.to_bytes(8, "little", signed=True) + bytes([side]), digest_size=8).digest(), "little", signed=True)
-                        for column, value in zip(rows, (key, side, did, th, pos, before, after, cut), strict=True):
-                            column.append(value)
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _CONTEXTS, strict=True)], schema=_CONTEXTS)
+                seen.add((did, th))
+                for e in edges:
+                    pos, gram = e["pos"], e["gram"]
+                    before, after = min(pos, SIDE), min(len(raw) - pos - GRAM, SIDE)
+                    if before + after < SIDE or (gram in hot) != wanted:
+                        continue
+                    cut = bytes(SIDE - before) + raw[pos - before : pos + GRAM + after] + bytes(SIDE - after)
+                    for side, near, reach in ((0, cut[SIDE - HALF : SIDE], before), (1, cut[SPAN : SPAN + HALF], after)):
+                        if reach >= HALF:
+                            key = int.from_bytes(hashlib.blake2b(near + gram.to_bytes(8, "little", signed=True) + bytes([side]), digest_size=8).digest(), "little", signed=True)
+                            for column, value in zip(rows, (key, side, did, th, pos, before, after, cut), strict=True):
+                                column.append(value)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _CONTEXTS, strict=True)], schema=_CONTEXTS)
+
+    return run
 
 
 def refine(data: np.ndarray, depth: int = SPAN) -> np.ndarray:
@@ -252,16 +261,40 @@ SETTLED = "doc bigint, th bigint, lo int, hi int, w0 bigint, w1 bigint"
 _SETTLED = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("w0", pa.int64()), ("w1", pa.int64())])
 
 
+def _parts(t: pa.Table):
+    side, doc, th, pos, before, after = (t.column(k).to_numpy() for k in range(1, 7))
+    data = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, CONTEXT)
+    return doc, th, pos, real_windows(side, before, after), data
+
+
+def _open_windows(t: pa.Table):
+    """A row a window of some contexts."""
+    for i in range(0, t.num_rows, REFINED):
+        part = t.slice(i, REFINED)
+        key, (doc, th, pos, real, data) = part.column(0).to_numpy(), _parts(part)
+        r, s = np.nonzero(real)
+        names = [hashlib.blake2b(data[x, y : y + SPAN].tobytes() + int(key[x]).to_bytes(8, "little", signed=True) + bytes([y]), digest_size=16).digest() for x, y in zip(r.tolist(), s.tolist(), strict=True)]
+        w = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+        at = pa.array((s + pos[r] - SIDE).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), at, at, pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], schema=_SETTLED)
+
+
+def _hot_windows(hot: frozenset):
+    """Texts with the edges of their contexts to the windows of hot q-grams."""
+    cut = _cut_contexts(hot, True)
+
+    def run(batches):
+        for b in cut(batches):
+            yield from _open_windows(pa.Table.from_batches([b]))
+
+    return run
+
+
 def _settle(key_rows: int):
     """Sorted contexts to ranges of window starts that repeat (w0 is null), and to the windows of keys with too many contexts."""
 
-    def parts(t: pa.Table):
-        side, doc, th, pos, before, after = (t.column(k).to_numpy() for k in range(1, 7))
-        data = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, CONTEXT)
-        return doc, th, pos, real_windows(side, before, after), data
-
     def solve(t: pa.Table):
-        key, (doc, th, pos, real, data) = t.column(0).to_numpy(), parts(t)
+        key, (doc, th, pos, real, data) = t.column(0).to_numpy(), _parts(t)
         fresh = np.ones(len(key), bool)
         fresh[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (pos[1:] != pos[:-1]) | (key[1:] != key[:-1])
         hit = repeated_windows(key, real, data, np.cumsum(fresh))
@@ -272,17 +305,6 @@ def _settle(key_rows: int):
         none = pa.nulls(len(r), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array((lo + shift).astype(np.int32)), pa.array((hi - 1 + shift).astype(np.int32)), none, none], schema=_SETTLED)
 
-    def open_windows(t: pa.Table):
-        """A row a window."""
-        for i in range(0, t.num_rows, REFINED):
-            part = t.slice(i, REFINED)
-            key, (doc, th, pos, real, data) = part.column(0).to_numpy(), parts(part)
-            r, s = np.nonzero(real)
-            names = [hashlib.blake2b(data[x, y : y + SPAN].tobytes() + int(key[x]).to_bytes(8, "little", signed=True) + bytes([y]), digest_size=16).digest() for x, y in zip(r.tolist(), s.tolist(), strict=True)]
-            w = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            at = pa.array((s + pos[r] - SIDE).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), at, at, pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], schema=_SETTLED)
-
     def run(batches):
         rest, large = None, None  # rows of the last key, which may go on, and that key if it has too many
         for b in batches:
@@ -291,7 +313,7 @@ def _settle(key_rows: int):
             key = t.column(0).to_numpy()
             if large is not None:
                 n = int(np.searchsorted(key, large, "right"))
-                yield from open_windows(t.slice(0, n))
+                yield from _open_windows(t.slice(0, n))
                 t, key = t.slice(n), key[n:]
                 rest = None
                 if not len(key):
@@ -301,11 +323,11 @@ def _settle(key_rows: int):
             rest = t.slice(cut)
             while cut:
                 n = cut if cut <= REFINED else int(np.searchsorted(key[:cut], key[REFINED], "left")) or int(np.searchsorted(key[:cut], key[0], "right"))
-                yield from open_windows(t.slice(0, n)) if n > key_rows and key[0] == key[n - 1] else [solve(t.slice(0, n))]
+                yield from _open_windows(t.slice(0, n)) if n > key_rows and key[0] == key[n - 1] else [solve(t.slice(0, n))]
                 t, key, cut = t.slice(n), key[n:], cut - n
             if rest.num_rows > key_rows:
                 large = key[-1]
-                yield from open_windows(rest)
+                yield from _open_windows(rest)
                 rest = None
         if rest is not None and rest.num_rows:
             yield solve(rest)
@@ -369,8 +391,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     d = decided.withColumnRenamed("th", "d_th")
     # the same exchange of the texts serves both joins
     closer = rows.join(d.filter(F.size("edges") > 0).select("doc", "d_th", "edges"), match).select("did", "th", "body", "edges")
-    contexts = closer.mapInArrow(_cut_contexts, CONTEXTS).repartition("key").sortWithinPartitions("key", "doc", "th", "pos")
-    settled = stage_table(contexts.mapInArrow(_settle(KEY_ROWS), SETTLED), "settled")
+    counts = decided.select(F.explode("edges").alias("e")).groupBy("e.gram").agg(F.count(F.lit(1)).alias("n"))
+    total = decided.agg(F.sum(F.size("edges"))).first()[0] or 0
+    hot = frozenset(r["gram"] for r in counts.filter(F.col("n") > max(KEY_ROWS, total // HOT)).select("gram").collect())  # fewer than HOT
+    contexts = closer.mapInArrow(_cut_contexts(hot, False), CONTEXTS).repartition("key").sortWithinPartitions("key", "doc", "th", "pos")
+    settled = contexts.mapInArrow(_settle(KEY_ROWS), SETTLED)
+    if hot:
+        settled = settled.unionByName(closer.mapInArrow(_hot_windows(hot), SETTLED))
+    settled = stage_table(settled, "settled")
     # windows of keys with too many contexts: all but the first of each are repeats
     loose = settled.filter(F.col("w0").isNotNull())
     firsts = loose.groupBy("w0", "w1").agg(F.min(F.struct("doc", "th", "lo")).alias("first"))
