@@ -31,10 +31,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other documents within 3 bits (n_near) and within the radius of near copies (n_near_copies), for the ids that are queries (divisible by 20)."""
     prints = stage_table(simhash.with_edited(_read(spark, sf_dir, "documents")), "prints")
     found = simhash.near_counts(prints.filter("doc_id % 20 = 0"), prints, {"n_near": 3, "n_near_copies": simhash.NEAR_COPY_RADIUS})
-    near = found.select("q0", "q1", *[(F.col(c) - 1).alias(c) for c in ("n_near", "n_near_copies")])
-    joined = prints.join(near, (prints.fp0 == near.q0) & (prints.fp1 == near.q1), "left")
+    near = stage_table(found.select("q0", "q1", *[(F.col(c) - 1).alias(c) for c in ("n_near", "n_near_copies")]), "near")
+    # only queries have counts, and both sides are dealt anew, so the rows of a fingerprint that many share can be split
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    of_query = prints.filter(asked).join(near, (prints.fp0 == near.q0) & (prints.fp1 == near.q1), "left").drop("q0", "q1")
+    joined = of_query.unionByName(prints.filter(~asked), allowMissingColumns=True)
     likeness = lambda a, b: simhash.likeness(("fp0", "fp1"), (a, b))
-    return joined.select("doc_id", "n_chars", "edited_sha256", simhash.as_text("fp0", "fp1").alias("fingerprint"), simhash.as_text("ed0", "ed1").alias("edited_fingerprint"), likeness("ed0", "ed1").alias("near_edited"), likeness("nx0", "nx1").alias("near_next"), *[F.when(F.col("doc_id") % 20 == 0, F.col(c)).alias(c) for c in ("n_near", "n_near_copies")])
+    return joined.select("doc_id", "n_chars", "edited_sha256", simhash.as_text("fp0", "fp1").alias("fingerprint"), simhash.as_text("ed0", "ed1").alias("edited_fingerprint"), likeness("ed0", "ed1").alias("near_edited"), likeness("nx0", "nx1").alias("near_next"), "n_near", "n_near_copies")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +90,15 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
         FROM m""",
+    "op10_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w),
+        u AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+            GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM s LEFT JOIN least ON a = doc_id""",
 }
