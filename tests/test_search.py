@@ -59,6 +59,28 @@ def test_large_cells_are_dealt_to_groups(refs, built, monkeypatch, rows):
     assert every.count() == 300 * 299 and {(r["qid"], r["rank"]): (r["d"], r["ref_id"]) for r in search.nearest(every).collect()} == want
 
 
+@pytest.mark.parametrize(("span", "count"), [(3, 900), (4000, 900), (1, 700), (50, 4)])
+def test_nearest_rows_are_those_of_all_pairs(span, count):
+    rng = np.random.default_rng(span)
+    r, q = rng.integers(-span, span + 1, (count, 6)).astype(float), rng.integers(-span, span + 1, (150, 6)).astype(float)
+    lo = rng.integers(0, count, 150)
+    hi = lo + rng.integers(0, 3, 150).clip(max=count - lo)
+    for own in ([], [lo, hi]):
+        x, y, d = search.nearest_rows(q, r, 5, *own)
+        got = sorted(zip(x.tolist(), d.tolist(), y.tolist(), strict=True))
+        far = ((q[:, None] - r) ** 2).sum(2).astype(int).tolist()
+        want = [(i, *p) for i, row in enumerate(far) for p in sorted((v, j) for j, v in enumerate(row) if not own or not lo[i] <= j < hi[i])[:5]]
+        assert got == want
+
+
+def test_far_boxes_are_not_read(monkeypatch):
+    rng, read, partition = np.random.default_rng(2), [], np.partition
+    r, q = rng.integers(0, 10_001, (20_000, 3)).astype(float), rng.integers(0, 10_001, (1000, 3)).astype(float)
+    monkeypatch.setattr(search.np, "partition", lambda d, *a, **k: read.append(d.size) or partition(d, *a, **k))
+    search.nearest_rows(q, r, 5)
+    assert 0 < sum(read) < len(r) * len(q) / 5
+
+
 def test_slot_ties_of_dealt_cells(refs, built, monkeypatch):
     probed = search.probes(queries(refs), built.centroids, DIMS, 3)
     whole = search.slot_fold(search.candidates(probed, built.lists, DIMS, leave_out_self=True))
