@@ -46,7 +46,9 @@ CONTEXT = SPAN + SIDE
 HALF = SIDE // 2
 #: Ids from here down stand for null ids.
 NO_ID = -(1 << 62)
-CHUNK = 2 << 20
+CHUNK = 1 << 19
+#: Rows of a batch whose lists become Python objects at once.
+SLICE_ROWS = 256
 #: Contexts of one key that one task refines together, and of one refinement.
 KEY_ROWS, REFINED = 20_000, 4000
 #: Fewer q-grams than this have more than one in so many of the contexts.
@@ -97,6 +99,13 @@ def pieces(sizes: list[int]):
         yield out
 
 
+def sliced(batches):
+    """The batches in slices of SLICE_ROWS rows, so that few of their texts and lists are held as objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(i, SLICE_ROWS)
+
+
 def _order_batch(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """ids, text hashes and bytes of the distinct rows of a batch, in the order of documents."""
     ids, hashes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -196,7 +205,7 @@ def _cut_contexts(hot: frozenset, wanted: bool):
     """
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [[] for _ in _CONTEXTS]
             seen = set()
             for did, th, raw, edges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -359,7 +368,7 @@ def _spans_of(packed, repeats, windows, size: int) -> np.ndarray:
 
 def _remove(keep_text: bool):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, raws = b.column(0).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()
             cols: list[list] = [[] for _ in range(5)]
             for did, raw, repeats, packed, windows in zip(ids, raws, b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):

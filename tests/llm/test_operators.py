@@ -218,6 +218,19 @@ def test_op3_keys_with_too_many_contexts(spark, small_batches, monkeypatch, hot)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(edge(spark, rows).repartition(3)).collect())) == repeats(rows)
 
 
+def test_contexts_of_few_texts_are_held_at_once():
+    """A batch's contexts leave it in slices, and they are those of the texts."""
+    raws = [random.Random(i).randbytes(400) for i in range(600)]
+    edges = [[{"pos": p, "gram": p % 3} for p in (0, 90, 180, 368)] for _ in raws]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.int64())]))
+    b = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(range(600)), pa.array(raws, pa.binary()), pa.array(edges, kind)], names=["did", "th", "body", "edges"])
+    found = [x.to_pydict() for x in suffix_dedup._cut_contexts(frozenset([2]), False)([b])]
+    assert max(len(set(x["doc"])) for x in found) <= suffix_dedup.SLICE_ROWS and set().union(*(x["doc"] for x in found)) == set(range(600))
+    for x in found:
+        for doc, pos, before, after, cut in zip(x["doc"], x["pos"], x["before"], x["after"], x["bytes"], strict=True):
+            assert pos % 3 < 2 and cut.strip(bytes(1)) == raws[doc][pos - before : pos + suffix_dedup.GRAM + after].strip(bytes(1))
+
+
 def test_op3_pieces_have_the_anchors_of_the_whole(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     raws = [t.encode() for _, t in passages(random.Random(5))]
