@@ -121,6 +121,15 @@ def test_settled_rounds_stop(spark, refs):
     assert once == more
 
 
+def test_payloads_are_parsed_once(spark, built, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = spark.createDataFrame([(k, text) for k, text in enumerate([*WARM_UP, "broken", None, "{}"])], "k long, value string")
+    scored = Engine(built).score(rows, "k")
+    assert "from_json" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: (r["status"], r["fraud_count"], r["approved"]) for r in scored.collect()}
+    assert got.pop(0)[0] == got.pop(1)[0] == "ok" and got == {k: ("parse_error", 0, True) for k in (2, 3, 4)}
+
+
 def test_keys_of_any_kind_and_name(spark, built):
     rows = spark.createDataFrame([("a", "broken"), ("b", WARM_UP[0])], "id string, value string")
     got = {r["id"]: r["status"] for r in Engine(built).score(rows, "id").collect()}
