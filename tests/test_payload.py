@@ -66,3 +66,18 @@ def test_bad(parsed, name):
 @pytest.mark.parametrize("name", list(ODD))
 def test_odd(parsed, name):
     assert parsed[name]["is_valid"] and parsed[name][ODD[name][1]] == ODD[name][2]
+
+
+def test_methods_are_small_enough_to_be_compiled(spark):
+    """The JVM only interprets a method of more than 8000 bytes."""
+    plan = vectorize(parse_payload(spark.createDataFrame([("x", "")], "name string, value string")))._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(plan)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_id_beside_another_quoted_one(spark):
+    rows = [("quoted", '{"id" : "7"}'), ("other", '{"id":7,"merchant":{"id":"8"}}'), ("escaped", '{"id":"a\\\\b"}')]
+    got = {r["name"]: r["error"] for r in parse_payload(spark.createDataFrame(rows, "name string, value string")).collect()}
+    assert got == {"quoted": "amount", "other": "id", "escaped": "amount"}
