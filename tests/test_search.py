@@ -81,6 +81,29 @@ def test_far_boxes_are_not_read(monkeypatch):
     assert 0 < sum(read) < len(r) * len(q) / 5
 
 
+def test_farther_cells_give_no_row_beyond_the_limit(refs, built):
+    """The nearest of the first cell bound the others: the counts stay, fewer rows come out."""
+    probed = staging.staged(search.probes(queries(refs), built.centroids, DIMS, 8))
+    every = search.nearest_by_cell(probed, built.lists, DIMS, leave_out_self=True).collect()
+    turned = search.first_found(probed, built, True)
+    rest = search.nearest_by_cell(turned.filter("probe > 1").drop("near"), built.lists, DIMS, leave_out_self=True).collect()
+    first = turned.filter("probe = 1").selectExpr("qid", "probe", "inline(near)").collect()
+    near = lambda rows, probe: {q: sorted((r["d"], r["ref_id"]) for r in rows if r["qid"] == q and r["probe"] <= probe)[:5] for q in range(300)}
+    assert all(near(first + rest, p) == near(every, p) for p in (1, 2, 8))
+    worst = {q: d[4][0] for q, d in near(every, 1).items() if len(d) == 5}
+    assert len(first + rest) < len(every) and all(r["d"] <= worst.get(r["qid"], r["d"]) for r in rest)
+
+
+def test_limits_leave_out_far_rows():
+    rng = np.random.default_rng(5)
+    r, q = rng.integers(0, 9, (700, DIMS)).astype(float), rng.integers(0, 9, (90, DIMS)).astype(float)
+    d = ((q[:, None] - r[None]) ** 2).sum(2).astype(int)
+    limit = np.where(np.arange(90) % 3 == 0, np.inf, np.sort(d, 1)[:, np.arange(90) % 7][np.arange(90), np.arange(90)])
+    want = {(i, int(j)) for i in range(90) for j in np.argsort(d[i], kind="stable")[:5] if d[i, j] <= limit[i]}
+    x, y, far = search.nearest_rows(q, r, 5, limit=limit)
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(x) == len(want) and (far == d[x, y]).all()
+
+
 def test_slot_ties_of_dealt_cells(refs, built, monkeypatch):
     probed = search.probes(queries(refs), built.centroids, DIMS, 3)
     whole = search.slot_fold(search.candidates(probed, built.lists, DIMS, leave_out_self=True))
